@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidewater.llm import exact_dedup
+from tidewater.llm import bpe, exact_dedup, packing
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_packing": packing.query,
 }
 ORACLE = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
