@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, exact_dedup, packing
+from tidewater.llm import bpe, exact_dedup, license_scan, packing, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op3_license_scan": license_scan.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
+    "op10_warc": warc.query,
 }
 ORACLE = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
