@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, exact_dedup, jaccard_join, license_scan, packing, warc
+from tidewater.llm import bpe, exact_dedup, jaccard_join, license_scan, packing, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_toxicity": toxicity.query,
     "op3_license_scan": license_scan.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_exact_dedup": exact_dedup.query,
