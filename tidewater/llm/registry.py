@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, exact_dedup, jaccard_join, license_scan, packing, toxicity, warc
+from tidewater.llm import bpe, chat, exact_dedup, jaccard_join, license_scan, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -11,8 +11,11 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
+    "op8_chat": chat.query,
+    "op9_quality": quality.query,
     "op10_warc": warc.query,
 }
 ORACLE = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
 }
