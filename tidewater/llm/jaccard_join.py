@@ -7,8 +7,10 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
 1. Shingles are counted in hashed cells over all documents; cells that stand out
    come last in the coarse order (frequency class of the cell, hash). Any order is
    valid, so this choice costs or saves work and never changes the result.
-2. Prefixes under the coarse order find the active sets: those that share a prefix
-   token with a different set. The others have no link.
+2. Prefixes under the coarse order find the active sets. They are longer by l tokens
+   (a tenth of the set and one), so two similar sets share at least the smaller l of
+   the two; a set is active if so many of its prefix tokens occur in different sets.
+   The others have no link.
 3. Among active sets tokens are counted exactly. Tokens of one set alone come first
    and join with nothing; the others follow in two orders: (count, hash) and
    (count, another hash).
@@ -77,8 +79,18 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens ^ _ODD[7]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def longer(n: int) -> int:
+    """By how many tokens the coarse prefix is longer than needed for one in common, plus 1."""
+    return n // 10 + 1
+
+
+def coarse_length(n: int, percent: int) -> int:
+    return min(n, n - -(-percent * n // 100) + longer(n))
+
+
+def least_common(n: int, percent: int) -> int:
+    """Coarse prefix tokens in common with any similar set: one with t n tokens at least."""
+    return longer(-(-percent * n // 100))
 
 
 class _Bits:
@@ -135,25 +147,30 @@ def coarse_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits, done = held.value, _Bits(CELL_BITS), set()
         for b in batches:
-            tokens, sids = [], []
-            held_rows = 0
+            tokens, sids, least = [], [], []
             for s in shingle_sets(b.column(1), words):
                 if not len(s) or (sid := set_id(s)) in done:
                     continue
                 if len(done) < SEEN:
                     done.add(sid)
-                keep = prefix_length(len(s), percent)
+                keep = coarse_length(len(s), percent)
                 own = table[bits.of(s)]
                 tokens.append(s[np.argsort(own, kind="stable")[:keep]] if own.any() else s[:keep])
-                sids.append(np.full(keep, sid, np.int64))
-                held_rows += keep
-                if held_rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids))], ["token", "sid"])
-                    tokens, sids, held_rows = [], [], 0
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids))], ["token", "sid"])
+                sids.append(sid)
+                least.append(least_common(len(s), percent))
+                if len(sids) == 512:
+                    yield _posts(tokens, sids, least)
+                    tokens, sids, least = [], [], []
+            if sids:
+                yield _posts(tokens, sids, least)
+
+    return docs.select(id_col, text_col).mapInArrow(run, "token long, sid long, least int")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, "token long, sid long")
+def _posts(tokens: list, sids: list, least: list) -> pa.RecordBatch:
+    each = [len(t) for t in tokens]
+    columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(sids, np.int64), each), np.repeat(np.array(least, np.int32), each)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "least"])
 
 
 def sets_of(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -275,10 +292,12 @@ def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int
 
 
 def active_sets(coarse: DataFrame) -> DataFrame:
-    """The sets that share a token of the coarse prefix with a different set."""
+    """The sets with enough coarse prefix tokens that different sets have as well."""
     by = Window.partitionBy("token").orderBy("sid")
     other = (F.lag("sid").over(by) != F.col("sid")) | (F.lead("sid").over(by) != F.col("sid"))
-    return coarse.withColumn("meets", other).where("meets").select("sid").distinct()
+    # several tasks may have sent a set: it is counted once for a token
+    tokens = coarse.withColumn("other", other).where("other").groupBy("token", "sid").agg(F.first("least").alias("least"))
+    return tokens.groupBy("sid").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("sid")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
