@@ -11,7 +11,7 @@ counts the lengths, numbers the pieces of each length (in parts, so that a lengt
 that most pieces have is spread), and looks every piece up in the plan.
 
 Ids are those of the tokenizers library: texts are normalised and cut into words
-as its file says, words are encoded by the library and kept by each worker in a
+as its file says, words are encoded by the library's model and kept by each worker in a
 table of bounded size; a text that holds a special token's opening, or letters of
 less common scripts, goes to the library whole. Defined results: a null or empty text is the end id alone, one
 piece of length 1; null ids are kept and ordered first; repeated rows are packed
@@ -20,6 +20,7 @@ each for itself; an empty table gives an empty result; other columns are not rea
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -33,20 +34,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidewater.llm.bpe import byte_letters
 from tidewater.llm.common import stored
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END_ID = 2048, 0
 #: Pieces of one length that are numbered by one task.
 RANK_ROWS = 20_000
-#: Words that a worker keeps.
-MEMO_ROWS, MEMO_CHARS = 300_000, 48
+#: Words, and runs of them, that a worker keeps.
+MEMO_ROWS, MEMO_CHARS = 700_000, 48
 #: Letters of other scripts (this is not ASCII, Latin, Greek, Cyrillic or common
 #: punctuation): libraries differ in the Unicode version that they know, so texts
 #: with such letters go to the tokenizers library whole.
 OTHER = r"[^\x00-\u0377\u0400-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20bf]"
 #: The word pattern of the tokenizer file (fixed value).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
+#: Separators that split() takes for white space and the library does not.
+SEPARATORS = re.compile("[\x1c-\x1f]").search
 
 
 def default_path() -> str:
@@ -55,6 +59,45 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Word to its packed ids; the library's model encodes what is not kept yet."""
+
+    def __init__(self, library):
+        self.encode = library.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [x.id for x in self.encode(letters)]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_ROWS:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
+class _Runs(dict):
+    """A run between white space (no word crosses it) to the packed ids of its words."""
+
+    def __init__(self, words: _Words):
+        self.split = regex.compile(WORDS).findall
+        self.word = words.__getitem__
+
+    def __missing__(self, run: str) -> bytes:
+        if run.isalpha():
+            packed = self.word(run)
+        elif run[:-1].isalpha() and run[-1] in ".,;:!?":
+            packed = self.word(run[:-1]) + self.word(run[-1])
+        else:
+            packed = b"".join(map(self.word, self.split(run)))
+        if len(run) <= MEMO_CHARS:
+            if len(self) >= MEMO_ROWS:
+                self.clear()
+            self[run] = packed
+        return packed
+
+
 class WordIds:
     """Texts to token ids, as little-endian unsigned 32-bit numbers."""
 
@@ -64,34 +107,20 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.words = regex.compile(WORDS).findall
+        self.runs = _Runs(_Words(self.library))
         self.other = regex.compile(OTHER).search
-        self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not text.isascii() and self.other(text):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        if not text.isascii():
+        plain = text.isascii()
+        if "<|" in text or not plain and self.other(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if not plain:
             # letter by letter, as the library: no final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.words(text.lower())
-        memo = self.memo
-        if len(memo) > MEMO_ROWS:
-            memo.clear()
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-            for w, x in zip(new, coded, strict=True):
-                memo[w] = self._pack(x.ids)
-        out = b"".join(map(memo.__getitem__, words))
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
-        return out
+        text = text.lower()
+        runs = [text] if SEPARATORS(text) else text.split()
+        return b"".join(map(self.runs.__getitem__, runs))
 
 
 _loaded: dict[str, WordIds] = {}
