@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, chat, exact_dedup, jaccard_join, license_scan, packing, quality, toxicity, warc
+from tidewater.llm import ann, bpe, chat, exact_dedup, jaccard_join, license_scan, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_toxicity": toxicity.query,
     "op3_license_scan": license_scan.query,
+    "op4_ann": ann.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
