@@ -94,6 +94,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return new_index(spark, index_buckets(spark)).ingest(docs, id_col, text_col)
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each text."""
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone"))
+    rows = docs.withColumn("__digest", digest(F.col(text_col)))
+    same = (rows["__digest"] == gone["gone"]) & rows[id_col].eqNullSafe(gone["gone_id"])
+    left = rows.join(gone.distinct(), same, "left_anti")
+    # rows that repeat an id and a text: one of them
+    return left.dropDuplicates(["__digest"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).select(

@@ -313,5 +313,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return full.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their component."""
+    found = jaccard_components(docs, words, percent, id_col, text_col)
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

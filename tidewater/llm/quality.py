@@ -164,6 +164,24 @@ def grade(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail_probability double, keep boolean")
 
 
+def select(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose tail probability reaches ``keep``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    spot = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        place = int(np.searchsorted(m.grades, m.target)) if m.grades else 0
+        for b in batches:
+            fine = []
+            for at, value in features(b.column(spot)):
+                above = m.tails(float(value @ m.weights[at])) if len(m.thresholds) else ()
+                fine.append(not 0 < place <= len(above) or bool(above[place - 1] >= keep))
+            yield b.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return grade(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -219,6 +219,11 @@ def _curve(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 1e-3))
 
 
+def probability(model: Model, x: float) -> float:
+    z = model.bias + model.slope * min(x, CAP)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
 PASSAGE = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("expectation", pa.float64())]))
 
 
@@ -232,8 +237,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores, passages = [], []
             for words in documents(b.column(1)):
                 x, _, found = evidence(held.value, words)
-                z = held.value.bias + held.value.slope * min(x, CAP)
-                scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+                scores.append(probability(held.value, x))
                 passages.append([dict(zip(("first_word", "end_word", "expectation"), p, strict=True)) for p in found])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, PASSAGE)],
@@ -244,6 +248,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, out)
 
 
+def select(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    spot = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = [probability(held.value, evidence(held.value, w)[0]) < threshold for w in documents(b.column(spot))]
+            yield b.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
