@@ -1 +1 @@
-"""Part of tidewater."""
+"""The batch operators on streams: same functions, same log."""
