@@ -322,3 +322,25 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS l FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_distinct([array_to_string(l[i:i + 4], ' ') FOR i IN range(1, len(l) - 3)])
+                             WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), u AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), r AS (
+  SELECT doc_id AS place, doc_id AS seen FROM n UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.place
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT place AS doc_id, min(seen) AS component_id FROM r GROUP BY place) c USING (doc_id)
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 ORACLE = {
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
