@@ -20,6 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import stored
+
 #: What is deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -59,6 +61,7 @@ class DigestIndex:
             digest(F.col(text_col)).alias("digest"),
             F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
         )
+        rows = stored(rows, "digests")  # the texts are read and hashed once
         order = F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
         groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
         best = groups.select(
