@@ -453,3 +453,37 @@ query("kv_rename", "SELECT CASE WHEN n_nationkey < 5 THEN 'new' || n_nationkey E
     lambda t: kv.renamed(t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value")), t.nation.where("n_nationkey < 5").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("new"), F.col("n_nationkey").cast("string")).alias("dst")))
 )
 query("row_numbers", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS number FROM events")(lambda t: numbered(t.events.select("event_id"), "event_id"))
+
+# ---------------------------------------------------------------- sources that stream
+
+
+@query("cdc_stream", CHANGES + "SELECT lsn, pk, operation, value FROM r")
+def _(t):
+    """The flagship as a stream: change files in, the shape's log out."""
+    from tidewater.operators.numbering import shared_path
+    from tidewater.streaming import live
+
+    rows = change_log(t)
+    at = shared_path(rows, "cdc")
+    rows.write.parquet(f"{at}/in")
+    live.write_log(live.changes(t.spark, f"{at}/in", rows.schema), OVER_50, f"{at}/out", f"{at}/state").awaitTermination()
+    return live.read_log(t.spark, f"{at}/out").select("lsn", "pk", "operation", "value.value")
+
+
+@query("pgoutput_decode", "SELECT n_nationkey::BIGINT AS lsn, 'insert' AS op, n_nationkey::VARCHAR AS pk, n_name AS name FROM nation")
+def _(t):
+    """Frames of inserts into nation, made from the table, decoded again."""
+    from tidewater.sources import pgoutput
+
+    def number(column, width):
+        return F.to_binary(F.lpad(F.hex(column), 2 * width, "0"), F.lit("hex"))
+
+    def cell(text):
+        return F.concat(F.lit(b"t"), number(F.octet_length(text), 4), F.encode(text, "UTF-8"))
+
+    n, key = t.nation, F.col("n_nationkey").cast("long")
+    begin = n.select((key * 3 + 1).alias("seq"), F.concat(F.lit(b"B"), number(key, 8), F.lit(bytes(12))).alias("data"))
+    put = n.select((key * 3 + 2).alias("seq"), F.concat(F.lit(b"I\0\0\0\x07N\0\x02"), cell(key.cast("string")), cell(F.col("n_name"))).alias("data"))
+    told = b"R\0\0\0\x07public\0nation\0d\0\x02\x01n_nationkey\0\0\0\0\x14\xff\xff\xff\xff\0n_name\0\0\0\0\x19\xff\xff\xff\xff"
+    frames = begin.union(put).union(t.spark.createDataFrame([(0, told)], "seq long, data binary")).withColumn("stream", F.lit(0).cast("long"))
+    return pgoutput.changes(frames).select("lsn", "op", "pk", F.col("new.n_name").alias("name"))
