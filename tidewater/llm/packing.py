@@ -42,7 +42,7 @@ SIZE, END_ID = 2048, 0
 #: Pieces of one length that are numbered by one task.
 RANK_ROWS = 20_000
 #: Words, and runs of them, that a worker keeps.
-MEMO_ROWS, MEMO_CHARS = 700_000, 48
+MEMO_ROWS, MEMO_CHARS = 250_000, 48
 #: Letters of other scripts (this is not ASCII, Latin, Greek, Cyrillic or common
 #: punctuation): libraries differ in the Unicode version that they know, so texts
 #: with such letters go to the tokenizers library whole.
