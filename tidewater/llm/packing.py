@@ -41,8 +41,8 @@ from tidewater.llm.common import stored
 SIZE, END_ID = 2048, 0
 #: Pieces of one length that are numbered by one task.
 RANK_ROWS = 20_000
-#: Words, and runs of them, that a worker keeps.
-MEMO_ROWS, MEMO_CHARS = 250_000, 48
+#: Words, and runs of them, that a worker keeps: the first ones, frequent words among them.
+MEMO_ROWS, MEMO_CHARS = 150_000, 32
 #: Letters of other scripts (this is not ASCII, Latin, Greek, Cyrillic or common
 #: punctuation): libraries differ in the Unicode version that they know, so texts
 #: with such letters go to the tokenizers library whole.
@@ -70,9 +70,7 @@ class _Words(dict):
         letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         ids = [x.id for x in self.encode(letters)]
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_ROWS:
-                self.clear()
+        if len(word) <= MEMO_CHARS and len(self) < MEMO_ROWS:
             self[word] = packed
         return packed
 
@@ -91,9 +89,7 @@ class _Runs(dict):
             packed = self.word(run[:-1]) + self.word(run[-1])
         else:
             packed = b"".join(map(self.word, self.split(run)))
-        if len(run) <= MEMO_CHARS:
-            if len(self) >= MEMO_ROWS:
-                self.clear()
+        if len(run) <= MEMO_CHARS and len(self) < MEMO_ROWS:
             self[run] = packed
         return packed
 
