@@ -80,18 +80,16 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at_feature, value
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], target: int | None = None) -> Model:
-    """The model of (feature numbers, values, grade) rows, by full-batch Adam steps on
-    the likelihood; thresholds are a first one and positive increments."""
-    grades = sorted({g for _, _, g in rows})
+def fit(at: np.ndarray, value: np.ndarray, row: np.ndarray, labels: np.ndarray, target: int | None = None) -> Model:
+    """The model of rows with ``labels``, whose features are (row, at, value) entries, by
+    full-batch Adam steps on the likelihood; thresholds are a first one and positive
+    increments."""
+    grades = sorted({int(g) for g in labels})
     model = Model(grades, target=grades[-1] if target is None and grades else target or 0)
     if len(grades) < 2:
         return model
-    y = np.searchsorted(grades, [g for _, _, g in rows])
-    at = np.concatenate([i for i, _, _ in rows]).astype(np.int64)
-    value = np.concatenate([v for _, v, _ in rows])
-    row = np.repeat(np.arange(len(rows)), [len(i) for i, _, _ in rows])
-    k, n = len(grades) - 1, len(rows)
+    y = np.searchsorted(grades, labels)
+    k, n = len(grades) - 1, len(labels)
     below = np.array([(y <= j).mean() for j in range(k)])
     theta = np.log(below / (1 - below))
     free = np.concatenate((theta[:1], np.log(np.expm1(np.maximum(np.diff(theta), 1e-3)))))
@@ -136,9 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", target
     rows = labelled.labelled(docs, chosen, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, at array<int>, value array<float>, label int").toArrow()  # MAX_FIT rows at most
-    got = got.sort_by("id")
-    at, value = got.column("at").to_pylist(), got.column("value").to_pylist()
-    return fit([(np.array(i, np.int64), np.array(v), g) for i, v, g in zip(at, value, got.column("label").to_pylist(), strict=True)], target)
+    got = got.sort_by("id").combine_chunks()
+    at, value, label = (pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([]) for c in ("at", "value", "label"))
+    if not len(label):
+        return fit(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), target)
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    return fit(at.flatten().to_numpy(), value.flatten().to_numpy(), row, label.to_numpy(), target)
 
 
 def grade(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
