@@ -104,7 +104,7 @@ def word_scores(counts: DataFrame) -> Model:
         order = np.argsort(words)
         model.words = words[order]
         model.scores = np.clip(np.array([r.score for r in chosen], float)[order], -10, 10) - DRIFT
-        share = np.array([r.n0 for r in chosen], float)[order] / sums["n0"]
+        share = (np.array([r.n0 for r in chosen], float)[order] + PRIOR) / all0
         model.rate = _rate(np.append(share, max(0.0, 1 - share.sum())), np.append(model.scores, -DRIFT))
     counts.unpersist()
     return model
