@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.common import texts
+
 #: The pre-token pattern that the byte-level vocabulary is made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept by a worker, and the length of the longest one that is kept.
@@ -175,7 +177,7 @@ def _each(docs, path, id_col, text_col, column, one, arrow):
             out = [one(bpe, x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, arrow)], [id_col, name])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {column}")
+    return texts(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {column}")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +201,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             )
 
     out = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return texts(docs).select(id_col, text_col).mapInArrow(run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

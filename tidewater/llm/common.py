@@ -19,6 +19,20 @@ _CHECKPOINT = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 
 
+#: Rows that go to a Python worker at a time; Spark's default of 10,000 long texts is
+#: held several times over, in the JVM and in the worker.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, whose texts Python workers will read: in batches of BATCH_ROWS at most."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS, "10000")) <= BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, chunks, lowered, mix, stored, text_arrays, word_hashes
+from tidewater.llm.common import SPACE, chunks, lowered, mix, stored, text_arrays, texts, word_hashes
 from tidewater.llm.components import components
 
 #: Words of a shingle and least similarity in percent.
@@ -128,7 +128,7 @@ def summaries(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
             rows = len(out)
             yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind_of_id), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(out.astype(np.int32)), pa.array(cells[out])], ["id", "n", "sid", "cell", "seen"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, cell int, seen long")
+    return texts(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, cell int, seen long")
 
 
 def frequency_classes(summary: DataFrame) -> np.ndarray:
@@ -164,7 +164,7 @@ def coarse_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: i
             if sids:
                 yield _posts(tokens, sids, least)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "token long, sid long, least int")
+    return texts(docs).select(id_col, text_col).mapInArrow(run, "token long, sid long, least int")
 
 
 def _posts(tokens: list, sids: list, least: list) -> pa.RecordBatch:
@@ -206,7 +206,7 @@ def sets_of(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_co
                 tokens = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(np.diff(places).astype(np.int64)), tokens], ["sid", "n", "tokens"])
 
-    sent = docs.select(id_col, text_col).mapInArrow(run, "sid long, n long, tokens array<long>")
+    sent = texts(docs).select(id_col, text_col).mapInArrow(run, "sid long, n long, tokens array<long>")
     return sent.join(active, "sid", "left_semi").dropDuplicates(["sid"])
 
 

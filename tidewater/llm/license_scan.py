@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import LOWER, NOT_ALNUM, chunks, text_arrays
+from tidewater.llm.common import LOWER, NOT_ALNUM, chunks, text_arrays, texts
 
 #: Phrases that are found exactly, and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
             columns = [pa.array([[dict(zip(("label", "first_word", "end_word", "edits"), s, strict=True)) for s in f[x]] if x == "spans" else f[x] for f in found], t) for x, t in zip(names, types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [id_col, *names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return texts(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

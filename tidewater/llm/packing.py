@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.llm.bpe import byte_letters
-from tidewater.llm.common import stored
+from tidewater.llm.common import stored, texts
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END_ID = 2048, 0
 #: Pieces of one length that are numbered by one task.
 RANK_ROWS = 20_000
 #: Words, and runs of them, that a worker keeps: the first ones, frequent words among them.
-MEMO_ROWS, MEMO_CHARS = 150_000, 32
+MEMO_ROWS, MEMO_CHARS = 100_000, 32
 #: Letters of other scripts (this is not ASCII, Latin, Greek, Cyrillic or common
 #: punctuation): libraries differ in the Unicode version that they know, so texts
 #: with such letters go to the tokenizers library whole.
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
             )
 
     out = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return texts(docs).select(id_col, text_col).mapInArrow(run, out)
 
 
 class Rooms:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import labelled
-from tidewater.llm.common import SPACE, chunks, lowered, text_arrays, word_hashes
+from tidewater.llm.common import SPACE, chunks, lowered, text_arrays, texts, word_hashes
 
 #: Labelled rows of a fit at most, features of each kind (a power of two), tail probability that is kept.
 MAX_FIT, BUCKETS, KEEP = 6_000, 4_096, 0.5
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", target
 
     rows = labelled.labelled(docs, chosen, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, at array<int>, value array<float>, label int").toArrow()  # MAX_FIT rows at most
+    got = texts(rows).select("id", "text", "label").mapInArrow(run, f"id {kind}, at array<int>, value array<float>, label int").toArrow()  # MAX_FIT rows at most
     got = got.sort_by("id").combine_chunks()
     at, value, label = (pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([]) for c in ("at", "value", "label"))
     if not len(label):
@@ -162,7 +162,7 @@ def grade(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_
                 [id_col, "expected_grade", "tail_probability", "keep"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail_probability double, keep boolean")
+    return texts(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail_probability double, keep boolean")
 
 
 def select(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def select(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "t
                 fine.append(not 0 < place <= len(above) or bool(above[place - 1] >= keep))
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import labelled
-from tidewater.llm.common import NOT_ALNUM, chunks, lowered, text_arrays, word_hashes
+from tidewater.llm.common import NOT_ALNUM, chunks, lowered, text_arrays, texts, word_hashes
 
 #: Prior count of every word in either class, drift of a word, expectation of a passage.
 PRIOR, DRIFT, SIGNIFICANT = 0.5, 0.15, 0.01
@@ -74,7 +74,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             n1 = np.bincount(at[len(parts[0]) :], minlength=len(both))
             yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], ["word", "n0", "n1"])
 
-    sent = rows.select("text", "label").mapInArrow(run, "word long, n0 long, n1 long")
+    sent = texts(rows).select("text", "label").mapInArrow(run, "word long, n0 long, n1 long")
     return sent.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -192,7 +192,7 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
             excess = [held.value.rate * e[1] - math.log(max(n, 1)) for e, n in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([e[0] for e, _ in got], pa.float64()), pa.array(excess, pa.float64())], ["label", "x", "excess"])
 
-    return rows.select("text", "label").mapInArrow(run, "label int, x double, excess double")
+    return texts(rows).select("text", "label").mapInArrow(run, "label int, x double, excess double")
 
 
 def _curve(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float]:
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     out = f"`{id_col}` {kind}, score double, predicted int, passages array<struct<first_word:long,end_word:long,expectation:double>>"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return texts(docs).select(id_col, text_col).mapInArrow(run, out)
 
 
 def select(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -258,7 +258,7 @@ def select(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col
             fine = [probability(held.value, evidence(held.value, w)[0]) < threshold for w in documents(b.column(spot))]
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
