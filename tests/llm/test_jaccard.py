@@ -57,6 +57,51 @@ def test_components_against_all_pairs(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("block_sets", [256, 7])
+def test_all_links_of_a_large_group(spark, block_sets):
+    """Near copies with different texts: every similar pair is a link, also of sets connected already."""
+    rnd = random.Random(5)
+    base = ["w%d" % rnd.randrange(10_000) for _ in range(160)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            w[rnd.randrange(160)] = "x%d" % rnd.randrange(10_000)
+        rows.append((i, " ".join(w)))
+    rows += [(100 + d, t) for d, t in made(1) if d is not None] + [(90, rows[3][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, members = jaccard_join.links(docs, block_sets=block_sets)
+    got = [(r.a, r.b, r.common) for r in pairs.collect()]
+    sids = {}
+    for r in members.collect():
+        sids.setdefault(r.sid, []).append(r.doc_id)
+    texts, sets = dict(rows), {}
+    for sid, ids in sids.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (texts[ids[0]] or "").lower())
+        if sid is not None:
+            sets[sid] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    want = {(a, b, len(x & y)) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(want) > 500 and len(got) == len(want) and set(got) == want
+    counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(docs, block_sets=block_sets).collect()}
+    assert counts == {d: sum(sid in p[:2] for p in want) for sid, ids in sids.items() for d in ids}
+
+
+def test_no_links(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard_join.links(docs)[0].count() == jaccard_join.link_counts(docs).count() == 0
+
+
+def test_links_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(200)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.sql(jaccard_join.LINKS_SQL)
+    got = jaccard_join.link_counts(docs)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0

@@ -21,6 +21,9 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
    fewest tokens of its own. Sets that are connected so need no comparison with each
    other: what remains are pairs of different components, again from all buckets.
    The links that are left out lie within components, so components are exact.
+6. links() gives all similar pairs: as components are exact, every link lies in one.
+   The sets of a component are dealt into blocks and every two blocks are compared by
+   counting common tokens, each pair of sets once; no pair is left out.
 
 Documents with equal sets are one node. No list of partners is cut, no bucket is
 gathered into one row or task, and only tables whose size is fixed by a parameter
@@ -52,6 +55,8 @@ WORDS, PERCENT = 5, 80
 CELL_BITS, MAP_BITS = 19, 23
 #: Sets that one task remembers so as not to send copies.
 SEEN = 200_000
+#: Sets of a component that are compared at a time, and distinct tokens that are counted at a time.
+BLOCK_SETS, BLOCK_TOKENS = 256, 4_096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -260,8 +265,8 @@ def linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int) -
     return pairs.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
-def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) of the sets that have links."""
+def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the sets that have links, and (sid, n, tokens) of these and other active sets."""
     coarse = coarse_prefixes(docs, frequency_classes(summary), words, percent, id_col, text_col)
     active = stored(active_sets(coarse), "active")
     sets = stored(sets_of(docs, active, words, id_col, text_col), "sets")
@@ -288,7 +293,7 @@ def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int
     )
     cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     more = stored(linked(cross.join(tried, ["a", "b"], "left_anti"), orders, sets, percent), "cross-links")
-    return components(roots.toDF("a", "b").union(more))
+    return components(roots.toDF("a", "b").union(more)), sets
 
 
 def active_sets(coarse: DataFrame) -> DataFrame:
@@ -300,17 +305,77 @@ def active_sets(coarse: DataFrame) -> DataFrame:
     return tokens.groupBy("sid").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("sid")
 
 
+def pairs_within(roots: DataFrame, sets: DataFrame, percent: int, block_sets: int, count: bool) -> DataFrame:
+    """All similar pairs of sets of one component: (a, b, common) with a < b, or with
+    ``count`` for every two blocks (sid, n_links), where no row is made for a pair."""
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        sid, block, n = (rows[c].to_numpy() for c in ("sid", "block", "n"))
+        tokens = np.concatenate([c.flatten().to_numpy() for c in rows["tokens"].chunks])
+        distinct, code = np.unique(tokens, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], np.repeat(np.arange(len(n)), n)[order]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = np.zeros((len(left), len(right)), np.int64)
+        for lo in range(0, len(distinct), BLOCK_TOKENS):
+            at = slice(*np.searchsorted(code, [lo, lo + BLOCK_TOKENS]))
+            has = np.zeros((len(n), min(BLOCK_TOKENS, len(distinct) - lo)), np.float32)
+            has[row[at], code[at] - lo] = 1
+            common += (has[left] @ has[right].T).astype(np.int64)
+        similar = common * 100 >= (n[left][:, None] + n[right][None, :] - common) * percent
+        if i == j:
+            similar &= sid[left][:, None] < sid[right][None, :]
+        if count:
+            links = np.zeros(len(n), np.int64)
+            links[left] += similar.sum(1)
+            links[right] += similar.sum(0)
+            return pa.table({"sid": sid[links > 0], "n_links": links[links > 0]})
+        x, y = np.nonzero(similar)
+        one, other = sid[left[x]], sid[right[y]]
+        return pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other), "common": common[x, y]})
+
+    own = sets.join(roots.toDF("sid", "root"), "sid")
+    large = roots.groupBy("root").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks")).where("blocks > 1")
+    own = own.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # large: a row for block_sets sets at most
+    own = own.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    own = own.select("root", "sid", "n", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    own = own.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "sid", "n", "tokens", "block")
+    return own.groupBy("root", "i", "j").applyInArrow(compare, "sid long, n_links long" if count else "a long, b long, common long")
+
+
+def _named(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """id, n_shingles, component_id and sid of every row (id, n, sid)."""
+    full = rows.where("n > 0").join(roots.toDF("sid", "root"), "sid", "left").select("id", "n", "sid", F.coalesce("root", "sid").alias("root"))
+    full = stored(full, "nodes")
+    names = full.groupBy("root").agg(F.min("id").alias("component_id"))
+    full = full.join(names, "root").select("id", "n", "component_id", "sid")
+    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "sid")
+    return full.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "sid")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row."""
     summary = stored(summaries(docs, words, id_col, text_col), "summaries")
-    rows = summary.where("n is not null").select("id", "n", "sid")
-    roots = set_components(docs, summary, words, percent, id_col, text_col)
-    full = rows.where("n > 0").join(roots.toDF("sid", "root"), "sid", "left").select("id", "n", F.coalesce("root", "sid").alias("root"))
-    full = stored(full, "nodes")
-    names = full.groupBy("root").agg(F.min("id").alias("component_id"))
-    full = full.join(names, "root").select("id", "n", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    roots, _ = set_components(docs, summary, words, percent, id_col, text_col)
+    return _named(summary.where("n is not null").select("id", "n", "sid"), roots, id_col).drop("sid")
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame]:
+    """All similar pairs of different sets as (a, b, common), a < b, and the members:
+    id, n_shingles, component_id and sid of every row (sid is null without words)."""
+    summary = stored(summaries(docs, words, id_col, text_col), "summaries")
+    roots, sets = set_components(docs, summary, words, percent, id_col, text_col)
+    return pairs_within(roots, sets, percent, block_sets, False), _named(summary.where("n is not null").select("id", "n", "sid"), roots, id_col)
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
+    """id, n_shingles, component_id and n_links of every row: to how many other sets its own one is similar."""
+    summary = stored(summaries(docs, words, id_col, text_col), "summaries")
+    roots, sets = set_components(docs, summary, words, percent, id_col, text_col)
+    counts = pairs_within(roots, sets, percent, block_sets, True).groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+    members = _named(summary.where("n is not null").select("id", "n", "sid"), roots, id_col)
+    return members.join(stored(counts, "link-counts"), "sid", "left").select(id_col, "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,6 +389,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS l FROM documents
@@ -344,3 +413,16 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT place AS doc_id, min(seen) AS component_id FROM r GROUP BY place) c USING (doc_id)
 """
+#: As above, and for each document the number of other sets that its own one is similar to.
+LINKS_SQL = (
+    ORACLE_SQL[: ORACLE_SQL.index("SELECT w.doc_id")].rstrip()
+    + r""", m AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(l)) AS own FROM (SELECT doc_id, list(g) AS l FROM s GROUP BY doc_id)
+), k AS (
+  SELECT x.own, count(DISTINCT y.own) AS n_links FROM u JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE x.own <> y.own GROUP BY x.own
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT place AS doc_id, min(seen) AS component_id FROM r GROUP BY place) c USING (doc_id)
+LEFT JOIN m USING (doc_id) LEFT JOIN k ON k.own = m.own
+"""
+)

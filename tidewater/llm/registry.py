@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": license_scan.query,
     "op4_ann": ann.query,
     "op5_jaccard_join": jaccard_join.query,
+    "op5_jaccard_links": jaccard_join.links_query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
     "op8_chat": chat.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLE = {
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op5_jaccard_links": jaccard_join.LINKS_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
