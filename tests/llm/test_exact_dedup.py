@@ -47,3 +47,9 @@ def test_one_row_of_each_text(spark):
     got = exact_dedup.distinct_texts(docs)
     assert got.columns == docs.columns
     assert sorted(map(str, ((r.doc_id) for r in got.collect()))) == sorted(["3", "6", "7", "8", "10", "None", "12"][:0] + [str(i) for i in {k[1] for k in brute(TEXTS)}])
+
+
+def test_a_row_of_the_group_with_the_same_id(spark):
+    rows = [(1, "a b"), (1, "ab"), (None, "so lo"), (None, "solo"), (2, "c"), (3, "c "), (3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.text for r in exact_dedup.distinct_texts(docs).collect())) == ["a b", "c ", "so lo"]

@@ -55,7 +55,7 @@ class DigestIndex:
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add what is new in ``docs`` and decide on each of its rows: id, digest,
         keep_id (the row of the index that stands for the text), group_size (rows of
-        this batch with the text) and kept (the row is the one that stays)."""
+        this batch with the text), kept (the row is the one that stays) and n_points."""
         rows = docs.select(
             F.col(id_col).alias("id"),
             digest(F.col(text_col)).alias("digest"),
@@ -79,6 +79,7 @@ class DigestIndex:
             "keep_id",
             "group_size",
             (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
+            "n_points",
         )
 
 
@@ -99,11 +100,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each text."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone"))
-    rows = docs.withColumn("__digest", digest(F.col(text_col)))
-    same = (rows["__digest"] == gone["gone"]) & rows[id_col].eqNullSafe(gone["gone_id"])
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone"), F.col("n_points").alias("gone_points"))
+    rows = docs.withColumns({"__digest": digest(F.col(text_col)), "__points": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
+    # the row that stays may share its id with others of its group: their lengths differ
+    same = (rows["__digest"] == gone["gone"]) & (rows["__points"] == gone["gone_points"]) & rows[id_col].eqNullSafe(gone["gone_id"])
     left = rows.join(gone.distinct(), same, "left_anti")
-    # rows that repeat an id and a text: one of them
+    # rows that repeat an id and a text of one length: one of them
     return left.dropDuplicates(["__digest"]).select(*docs.columns)
 
 
