@@ -111,3 +111,20 @@ def test_star_steps(spark):
     chain = [(i, i + 1) for i in range(0, 40, 1) if i != 20] + [(50, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def test_one_row_of_each_component(spark):
+    """Rows leave by themselves: not by an id, or null, that others have as well."""
+    near = " ".join("w%d" % i for i in range(60))
+    rows = [(1, near), (None, near + " x"), (None, "a clean text of its own here"), (None, "one more of them all alone"), (None, None)]
+    rows += [(7, near + " y"), (7, "an unrelated text under the same id"), (7, ""), (1, near + " z")]
+    other = " ".join("v%d" % i for i in range(60))
+    rows += [(None, other), (None, other + " x"), (None, other.upper()), (20, "said twice by the same id"), (20, "said twice by the same id")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sid int")
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sum((t or "").startswith(near) for _, t in kept) == 1 and any(d == 1 and t in (near, near + " z") for d, t in kept)
+    assert sum((t or "").lower().startswith(other) for _, t in kept) == 1
+    rest = [r for r in kept if not (r[1] or "").lower().startswith((near, other))]
+    assert sorted(rest, key=str) == sorted([rows[2], rows[3], rows[4], rows[6], rows[7], rows[12]], key=str)

@@ -107,7 +107,7 @@ class _Bits:
 
 
 def summaries(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, n, sid) for every document and rows (cell, seen) for the cells that
+    """A row (id, h, n, sid) for every document, h the hash of its text, and rows (cell, seen) for the cells that
     stand out in a task's part of the documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -127,13 +127,13 @@ def summaries(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
             if wait:
                 cells += np.bincount(bits.of(np.concatenate(wait)), minlength=len(cells))
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], ["id", "n", "sid", "cell", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], ["id", "h", "n", "sid", "cell", "seen"])
         if kind_of_id is not None:
             out = np.flatnonzero(cells > max(8, 4 * cells.mean()))
             rows = len(out)
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind_of_id), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(out.astype(np.int32)), pa.array(cells[out])], ["id", "n", "sid", "cell", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind_of_id), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(out.astype(np.int32)), pa.array(cells[out])], ["id", "h", "n", "sid", "cell", "seen"])
 
-    return texts(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, cell int, seen long")
+    return texts(docs).select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, h long, n long, sid long, cell int, seen long")
 
 
 def frequency_classes(summary: DataFrame) -> np.ndarray:
@@ -379,10 +379,25 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest id of their component."""
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One row of ``docs``, with all its columns, for each component: the one with the
+    smallest id (null comes last), then the smallest hash of the text; of rows that
+    repeat id and text, one. Rows without words stay. Rows are told apart by id and
+    text, so an id that repeats with other texts, or null, decides nothing for them."""
+    summary = stored(summaries(docs, words, id_col, text_col), "summaries")
+    roots, _ = set_components(docs, summary, words, percent, id_col, text_col)
+    rows = summary.where("n > 0").groupBy("id", "h", "sid").agg(F.count("*").alias("rows"))
+    rows = rows.join(roots.toDF("sid", "root"), "sid", "left").select("id", "h", "rows", F.coalesce("root", "sid").alias("root"))
+    rows = stored(rows, "rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    marked = rows.join(best, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    # what leaves, and what stays but is repeated
+    marked = stored(marked.where("not stays or rows > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "stays"), "marked")
+    docs_h = docs.withColumn("__text", F.xxhash64(text_col))
+    same = (docs_h["__text"] == marked["__h"]) & docs_h[id_col].eqNullSafe(marked["__id"])
+    once = docs_h.join(marked, same, "left_anti")
+    again = docs_h.join(marked.where("stays"), same, "left_semi").dropDuplicates([id_col, "__text"])
+    return once.union(again).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
