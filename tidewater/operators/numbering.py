@@ -1,29 +1,72 @@
-"""Numbers rows in a global order without gathering them in one task."""
+"""Numbers rows in a global order, and inside groups, without gathering them in one task.
+
+These functions write their sorted input to the shared folder when they are called, that
+is, while a plan is built: which rows a range holds has to stay the same until all ranges
+are counted, whatever is computed again after an executor is lost.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Where it is unset and
+    all work runs in this process (tests), a temporary one; on a cluster it has to be set,
+    as a folder of one machine's own is seen by no other."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        at = _own[app] if app in _own else _own.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return at.rstrip("/")
+
 
 def shared_path(df: DataFrame, name: str) -> str:
-    """A new path in the folder that the cluster shares (an own one where none is set)."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
-def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
-    """``df`` with 0, 1, 2, ... in ``order``: rows are dealt out in ranges and sorted
-    there; the ranges' sizes (a row for each) give where each one starts."""
+def _dealt(df: DataFrame, order: list) -> DataFrame:
+    """``df`` dealt out in ranges of ``order``, sorted and stored, with __range and __row."""
     spot = F.monotonically_increasing_id()
     rows = df.orderBy(*order).withColumns({"__range": F.shiftright(spot, 33), "__row": spot.bitwiseAND(F.lit((1 << 33) - 1))})
     path = shared_path(df, "numbered")
     rows.write.parquet(path)
-    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    """All pairs of columns are equal; nulls are equal to each other."""
+    return reduce(lambda x, y: x & y, [a[x].eqNullSafe(b[y]) for x, y in pairs])
+
+
+def running(df: DataFrame, by: list[str], order: list[str], amount: Column, name: str = "running") -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows of its group before and including
+    each row. A group may hold most rows: it is spread over ranges, summed in each, and
+    the ranges' sums (a row for each group and range) say where each range starts."""
+    rows = _dealt(df.withColumn("__amount", amount), [*by, *order])
+    inside = Window.partitionBy("__range", *by).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("__range", *by).agg(F.sum("__amount").alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__{c}") for c in by], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    out = rows.withColumn("__local", F.sum("__amount").over(inside))
+    out = out.join(starts, same(out, starts, [("__range", "__r"), *[(c, f"__{c}") for c in by]]))
+    return out.select(*df.columns, (F.col("__start") + F.col("__local")).alias(name))
+
+
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """``df`` with 0, 1, 2, ... in ``order``: rows are dealt out in ranges and sorted
+    there; the ranges' sizes (a row for each) give where each one starts."""
+    rows = _dealt(df, list(order))
     sizes, starts, at = rows.groupBy("__range").agg(F.max("__row").alias("last")).orderBy("__range").collect(), [], 0
     for r in sizes:  # one for each range
         starts.append((r["__range"], at))
