@@ -37,3 +37,24 @@ def test_frames(spark):
         (8, 200, "truncate", None, None, None, None),
         (9, 200, "message", None, None, None, None),
     ]
+
+
+def test_a_table_described_anew(spark):
+    """Every frame is read by the description before it, in its own stream; transactions too."""
+    oid = struct.pack(">I", 9)
+    narrow = b"R" + oid + b"public\0things\0f" + struct.pack(">H", 2) + b"\x01id\0" + bytes(8) + b"\0big\0" + bytes(8)
+    put = lambda *cells: b"I" + oid + b"N" + image(*cells)
+    both = b"T" + struct.pack(">IB", 2, 0) + oid + struct.pack(">I", 8)
+    frames = [told(), begin(1), put("1", "a", "x"), told(), narrow, put("2", "y"), begin(2), put("3", "z"), told(), put("4", "b", "w"), told(8), both]
+    rows = [(0, i, f) for i, f in enumerate(frames)] + [(1, 0, put("9", "lost")), (1, 3, told()), (1, 4, begin(7)), (1, 5, put("5", None, "v")), (1, 6, b"")]
+    df = spark.createDataFrame(rows, "stream long, seq long, data binary")
+    got = [(r.stream, r.seq, r.lsn, r.op, r.pk, r.new) for r in pgoutput.changes(df.repartition(5)).orderBy("stream", "seq").collect()]
+    assert got == [
+        (0, 2, 1, "insert", "1", {"id": "1", "name": "a", "big": "x"}),
+        (0, 5, 1, "insert", "2", {"id": "2", "big": "y"}),
+        (0, 7, 2, "insert", "3", {"id": "3", "big": "z"}),
+        (0, 9, 2, "insert", "4", {"id": "4", "name": "b", "big": "w"}),
+        (0, 11, 2, "truncate", None, None),
+        (0, 11, 2, "truncate", None, None),
+        (1, 5, 7, "insert", "5", {"id": "5", "name": None, "big": "v"}),
+    ]
