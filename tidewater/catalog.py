@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidewater.functions import predicates as P
 from tidewater.operators import cache, kv, log, metrics, replicate, routing, subquery
 from tidewater.operators.numbering import numbered
-from tidewater.plans.shape import Shape, handle, message_key
+from tidewater.plans.shape import Shape, canonical_text, handle, message_key
 from tidewater.sources import changes as cdc
-from tidewater.sources import paths
+from tidewater.sources import paths, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,9 +117,14 @@ query("shape_keyed", "SELECT concat_ws(',', conv_id, turn) AS message_key, text
 query("snapshot_offsets", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS op_offset FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")(
     lambda t: BIG.snapshot(t.orders).select("o_orderkey", "op_offset")
 )
-query("shape_handle", r"SELECT c_custkey, substring(sha256('t' || chr(10) || c_mktsegment || chr(10) || c_name), 1, 32) AS handle FROM customer")(
-    lambda t: t.customer.select("c_custkey", handle(F.concat_ws("\n", F.lit("t"), "c_mktsegment", "c_name")).alias("handle"))
-)
+
+
+@query("shape_handle", r"SELECT c_custkey, substring(sha256(concat_ws(chr(10), c_name, 'orders', 'o_orderkey,o_custkey', 'o_orderpriority = ' || c_mktsegment, 'full')), 1, 32) AS handle FROM customer")
+def _(t):
+    """Handles of shape definitions in a table: a shape of orders for each customer as tenant."""
+    columns, test = F.array(F.lit("o_orderkey"), F.lit("o_custkey")), F.concat(F.lit("o_orderpriority = "), "c_mktsegment")
+    return t.customer.select("c_custkey", handle(canonical_text(F.col("c_name"), F.lit("orders"), columns, test, F.lit("full"))).alias("handle"))
+
 
 # ---------------------------------------------------------------- paths
 
@@ -147,7 +152,7 @@ WITH e AS (
          lag(event_type) OVER w AS old_type, lag(value) OVER w AS old_value
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
 ), ch AS (
-  SELECT event_id AS lsn, user_id AS pk,
+  SELECT event_id // 3 AS lsn, event_id % 3 AS seq, user_id AS pk,
          CASE WHEN gone THEN 'delete' WHEN coalesce(was_gone, true) THEN 'insert' ELSE 'update' END AS op,
          CASE WHEN NOT gone THEN event_type END AS new_type, CASE WHEN NOT gone THEN value END AS new_value,
          CASE WHEN NOT coalesce(was_gone, true) THEN old_type END AS old_type,
@@ -156,7 +161,7 @@ WITH e AS (
 ), m AS (
   SELECT *, op <> 'insert' AND coalesce(old_value > 50, false) AS b, op <> 'delete' AND coalesce(new_value > 50, false) AS a FROM ch
 ), r AS (
-  SELECT lsn, pk, CASE WHEN a AND NOT b THEN 'insert' WHEN a THEN 'update' ELSE 'delete' END AS operation,
+  SELECT lsn, seq, pk, CASE WHEN a AND NOT b THEN 'insert' WHEN a THEN 'update' ELSE 'delete' END AS operation,
          CASE WHEN a THEN new_type ELSE old_type END AS event_type, CASE WHEN a THEN new_value ELSE old_value END AS value,
          CASE WHEN b THEN old_value END AS was, new_value
   FROM m WHERE a OR b
@@ -166,70 +171,104 @@ OVER_50 = Shape("events", ("user_id",), lambda r: r["value"] > 50)
 
 
 def change_log(t: Tables) -> DataFrame:
-    return cdc.from_events(t.events)
+    """Three events are a transaction; some change one row twice."""
+    return cdc.from_events(t.events, per_transaction=3)
 
 
 def routed(t: Tables) -> DataFrame:
     """The log of OVER_50 as (handle, lsn, op_offset, operation, pk, value, event_type)."""
-    rows = routing.route(change_log(t), OVER_50).withColumn("handle", F.lit("h"))
-    return log.offsets(rows, "pk").withColumns({"event_type": F.col("value.event_type"), "value": F.col("value.value")})
+    rows = log.offsets(routing.route(change_log(t), OVER_50).withColumn("handle", F.lit("h")))
+    return rows.withColumns({"event_type": F.col("value.event_type"), "value": F.col("value.value")})
 
 
-query("change_stream", CHANGES + "SELECT lsn, pk, op, new_value, old_value FROM ch")(
-    lambda t: change_log(t).select("lsn", "pk", "op", F.col("new.value").alias("new_value"), F.col("old.value").alias("old_value"))
+query("change_stream", CHANGES + "SELECT lsn, seq, pk, op, new_value, old_value FROM ch")(
+    lambda t: change_log(t).select("lsn", "seq", "pk", "op", F.col("new.value").alias("new_value"), F.col("old.value").alias("old_value"))
 )
-query("changes_only_boundary", CHANGES + "SELECT max(lsn) AS boundary, count(*) AS n FROM ch")(lambda t: change_log(t).agg(F.max("lsn").alias("boundary"), F.count("*").alias("n")))
-query("route_changes", CHANGES + "SELECT lsn, pk, operation, event_type, value FROM r")(
-    lambda t: routing.route(change_log(t), OVER_50).select("lsn", "pk", "operation", F.col("value.event_type").alias("event_type"), F.col("value.value").alias("value"))
+query("changes_only_boundary", CHANGES + "SELECT lsn, seq, (SELECT count(*) FROM ch) AS n FROM ch ORDER BY lsn DESC, seq DESC LIMIT 1")(lambda t: cdc.boundary(change_log(t)))
+query("route_changes", CHANGES + "SELECT lsn, seq, pk, operation, event_type, value FROM r")(
+    lambda t: routing.route(change_log(t), OVER_50).select("lsn", "seq", "pk", "operation", F.col("value.event_type").alias("event_type"), F.col("value.value").alias("value"))
 )
-query("route_replica_full", CHANGES + "SELECT lsn, operation, value, CASE WHEN operation <> 'insert' THEN was END AS old_value FROM r")(
-    lambda t: routing.route(change_log(t), Shape("events", ("user_id",), OVER_50.predicate, replica="full")).select("lsn", "operation", F.col("value.value").alias("value"), F.col("old_value.value").alias("old_value"))
+query("route_replica_full", CHANGES + "SELECT lsn, seq, operation, value, CASE WHEN operation <> 'insert' THEN was END AS old_value FROM r")(
+    lambda t: routing.route(change_log(t), Shape("events", ("user_id",), OVER_50.predicate, replica="full")).select("lsn", "seq", "operation", F.col("value.value").alias("value"), F.col("old_value.value").alias("old_value"))
 )
-query("route_projected", CHANGES + "SELECT lsn, operation, '{\"value\":' || (value::DECIMAL(18,4))::VARCHAR || '}' AS body FROM r")(
-    lambda t: routing.route(change_log(t), Shape("events", (), OVER_50.predicate, ("value",))).select("lsn", "operation", F.concat(F.lit('{"value":'), F.col("value.value").cast("decimal(18,4)").cast("string"), F.lit("}")).alias("body"))
+query("route_projected", CHANGES + "SELECT lsn, seq, operation, '{\"value\":' || (value::DECIMAL(18,4))::VARCHAR || '}' AS body FROM r")(
+    lambda t: routing.route(change_log(t), Shape("events", (), OVER_50.predicate, ("value",))).select("lsn", "seq", "operation", F.concat(F.lit('{"value":'), F.col("value.value").cast("decimal(18,4)").cast("string"), F.lit("}")).alias("body"))
 )
+
+
+@query("truncate_to_deletes", CHANGES + """, k(lsn) AS (VALUES (90), (91), (250)), x AS (
+  SELECT ch.lsn, ch.seq, pk, op, (SELECT count(*) FROM k WHERE k.lsn < ch.lsn) AS epoch FROM ch
+), last AS (
+  SELECT pk, epoch, arg_max(op, lsn * 3 + seq) AS op FROM x GROUP BY pk, epoch
+), n AS (
+  SELECT lsn, row_number() OVER (ORDER BY lsn) - 1 AS epoch FROM k
+)
+SELECT lsn, seq, pk, op FROM x UNION ALL SELECT n.lsn, 9, pk, 'delete' FROM last JOIN n USING (epoch) WHERE op <> 'delete'""")
+def _(t):
+    """Truncates after the transactions 90, 91 and 250: deletes of all keys alive then."""
+    rows = change_log(t)
+    marks = t.spark.createDataFrame([(90,), (91,), (250,)], "lsn long")
+    marks = marks.select("lsn", F.lit(9).cast("long").alias("seq"), F.lit(None).cast("long").alias("pk"), F.lit("truncate").alias("op"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("new", "old")])
+    return routing.without_truncates(rows.unionByName(marks)).select("lsn", "seq", "pk", "op")
+
+
 TYPES = ("click", "view", "purchase", "signup")
 
 
 def by_type(kind: str) -> Shape:
-    return Shape("events", ("user_id",), lambda r: r["event_type"] == kind, equals=(("event_type", kind),))
+    return Shape("events", ("user_id",), lambda r: r["event_type"] == kind)
 
 
-MANY = CHANGES + "".join(
-    f"{' UNION ALL ' if i else ''}SELECT '{k}' AS handle, lsn, pk, CASE WHEN coalesce(new_type = '{k}', false) AND coalesce(old_type = '{k}', false) THEN 'update' WHEN new_type = '{k}' THEN 'insert' ELSE 'delete' END AS operation FROM ch WHERE coalesce(new_type = '{k}', false) OR coalesce(old_type = '{k}', false)"
-    for i, k in enumerate(TYPES)
-)
-query("route_multi_shape", MANY)(lambda t: routing.route_many(change_log(t), {k: by_type(k) for k in TYPES}).select("handle", "lsn", "pk", "operation"))
+def many(arms: dict[str, str]) -> str:
+    """Oracle of the logs of several shapes; each condition has %s for the side's prefix."""
+    rows = [f"SELECT '{name}' AS handle, lsn, seq, pk, op <> 'insert' AND coalesce({test.replace('%s', 'old')}, false) AS b, op <> 'delete' AND coalesce({test.replace('%s', 'new')}, false) AS a FROM ch" for name, test in arms.items()]
+    return CHANGES + f"SELECT handle, lsn, seq, pk, CASE WHEN a AND b THEN 'update' WHEN a THEN 'insert' ELSE 'delete' END AS operation FROM ({' UNION ALL '.join(rows)}) WHERE a OR b"
 
 
-@query("filter_index_route", MANY)
-def _(t):
-    index = t.spark.createDataFrame([("event_type", k, k) for k in TYPES], "column string, value string, handle string")
-    return routing.route_indexed(change_log(t), F.broadcast(index), "event_type")
+query("route_multi_shape", many({k: f"%s_type = '{k}'" for k in TYPES}))(lambda t: routing.route_many(change_log(t), {k: by_type(k) for k in TYPES}).select("handle", "lsn", "seq", "pk", "operation"))
+
+#: Shapes of all kinds: one key, several, keys and more, none; with the same condition in SQL.
+MIXED: dict[str, tuple] = {
+    **{k: (lambda r, k=k: r["event_type"] == k, f"%s_type = '{k}'") for k in TYPES},
+    "in": (lambda r: r["event_type"].is_in("click", "signup"), "%s_type IN ('click', 'signup')"),
+    "or": (lambda r: (r["event_type"] == "view") | (r["value"] == "0"), "(%s_type = 'view' OR %s_value = 0)"),
+    "and": (lambda r: (r["value"] > 100) & (r["event_type"] == "purchase"), "(%s_value > 100 AND %s_type = 'purchase')"),
+    "like": (lambda r: r["event_type"].like("%i%"), "%s_type LIKE '%i%'"),
+    "range": (lambda r: r["value"].between(10, 40), "%s_value BETWEEN 10 AND 40"),
+}
+
+
+def mixed(t: Tables) -> tuple[DataFrame, routing.ShapeIndex]:
+    rows = change_log(t)
+    return rows, routing.ShapeIndex(rows, {name: Shape("events", ("user_id",), test) for name, (test, _) in MIXED.items()})
+
+
+query("filter_index_route", many({name: sql for name, (_, sql) in MIXED.items()}))(lambda t: routing.route_indexed(*mixed(t)).select("handle", "lsn", "seq", "pk", "operation"))
 
 
-@query("filter_index_candidates", CHANGES + "SELECT DISTINCT lsn, handle FROM (SELECT lsn, new_type AS handle FROM ch UNION ALL SELECT lsn, old_type FROM ch) WHERE handle IN ('click', 'view') UNION ALL SELECT lsn, 'like' FROM ch")
+@query("filter_index_candidates", CHANGES + "SELECT DISTINCT lsn, seq, pk, handle FROM (SELECT lsn, seq, pk, CASE WHEN op <> 'delete' THEN new_type END AS handle FROM ch UNION ALL SELECT lsn, seq, pk, CASE WHEN op <> 'insert' THEN old_type END FROM ch) WHERE handle IN ('click', 'view') UNION ALL SELECT lsn, seq, pk, 'like' FROM ch")
 def _(t):
-    index = t.spark.createDataFrame([("event_type", k, k) for k in TYPES[:2]], "column string, value string, handle string")
-    return routing.candidates(change_log(t), F.broadcast(index), ["event_type"], ["like"])
+    rows = change_log(t)
+    shapes = {k: by_type(k) for k in TYPES[:2]} | {"like": Shape("events", ("user_id",), lambda r: r["event_type"].like("%a%"))}
+    return routing.candidates(rows, routing.ShapeIndex(rows, shapes))
 
 
-OFFSETS = CHANGES + ", o AS (SELECT *, row_number() OVER (PARTITION BY lsn ORDER BY pk) - 1 AS op_offset FROM r) "
+OFFSETS = CHANGES + ", o AS (SELECT *, seq AS op_offset FROM r) "
 query("log_offsets", OFFSETS + "SELECT lsn, op_offset, pk, operation FROM o")(lambda t: routed(t).select("lsn", "op_offset", "pk", "operation"))
 query("offset_codec", OFFSETS + "SELECT lsn || '_' || op_offset AS text, lsn, op_offset AS op, 1 AS rank FROM o")(
     lambda t: routed(t).select(log.encode(F.col("lsn"), F.col("op_offset")).alias("text")).withColumn("d", log.decode(F.col("text"))).select("text", "d.lsn", "d.op", "d.rank")
 )
-query("log_resume", OFFSETS + "SELECT lsn, op_offset, operation FROM o WHERE (lsn, op_offset) > (500, 0)")(lambda t: log.after(routed(t), 500, 0).select("lsn", "op_offset", "operation"))
+query("log_resume", OFFSETS + "SELECT lsn, op_offset, operation FROM o WHERE (lsn, op_offset) > (166, 1)")(lambda t: log.after(routed(t), 166, 1).select("lsn", "op_offset", "operation"))
 query("log_retention", OFFSETS + "SELECT lsn, op_offset, operation FROM o ORDER BY lsn DESC, op_offset DESC LIMIT 100")(lambda t: log.retained(routed(t), 100).select("lsn", "op_offset", "operation"))
 query("log_tip", OFFSETS + "SELECT 'h' AS handle, lsn, op_offset FROM o ORDER BY lsn DESC, op_offset DESC LIMIT 1")(lambda t: log.tip(routed(t)))
-query("must_refetch", OFFSETS + ", k AS (SELECT lsn FROM o ORDER BY lsn DESC, op_offset DESC LIMIT 100) SELECT c_custkey AS lsn, c_custkey < (SELECT min(lsn) FROM k) AS must_refetch FROM customer")(
-    lambda t: log.must_refetch(t.customer.select(F.lit("h").alias("handle"), F.col("c_custkey").alias("lsn")), log.retained(routed(t), 100)).select("lsn", "must_refetch")
+query("must_refetch", OFFSETS + ", k AS (SELECT lsn * 3 + op_offset AS place FROM o ORDER BY 1 DESC LIMIT 100) SELECT lsn, op_offset, lsn * 3 + op_offset < (SELECT min(place) FROM k) AS must_refetch FROM o")(
+    lambda t: log.must_refetch(routed(t).select("handle", "lsn", "op_offset"), log.retained(routed(t), 100)).select("lsn", "op_offset", "must_refetch")
 )
-VIEW = CHANGES + "SELECT pk, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY lsn DESC) AS n FROM ch) s, LATERAL (SELECT new_type AS event_type, new_value AS value) WHERE n = 1 AND op <> 'delete' AND new_value > 50"
+VIEW = CHANGES + "SELECT pk, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY lsn DESC, seq DESC) AS n FROM ch) s, LATERAL (SELECT new_type AS event_type, new_value AS value) WHERE n = 1 AND op <> 'delete' AND new_value > 50"
 
 
 def folded(t: Tables) -> DataFrame:
-    rows = log.offsets(routing.route(change_log(t), OVER_50), "pk")
+    rows = log.offsets(routing.route(change_log(t), OVER_50))
     return log.materialize(rows, "pk").select("pk", F.col("value.event_type").alias("event_type"), F.col("value.value").alias("value"))
 
 
@@ -239,11 +278,10 @@ query("materialize_log", VIEW)(folded)
 @query("snapshot_plus_log", VIEW)
 def _(t):
     """A snapshot taken in the middle and the whole log: changes seen twice do no harm."""
-    rows = routing.route(change_log(t), OVER_50)
-    middle = log.materialize(log.offsets(rows.where("lsn <= 700"), "pk"), "pk")
-    snapshot = middle.select(F.lit(0).cast("long").alias("lsn"), "pk", F.lit("insert").alias("operation"), "value", F.lit(0).alias("op_offset"))
-    both = snapshot.unionByName(log.offsets(rows.drop("old_value"), "pk"))
-    return log.materialize(both, "pk").select("pk", F.col("value.event_type").alias("event_type"), F.col("value.value").alias("value"))
+    rows = log.offsets(routing.route(change_log(t), OVER_50)).drop("old_value", "seq")
+    middle = log.materialize(rows.where("lsn <= 233"), "pk")
+    snapshot = middle.select(F.lit(-1).cast("long").alias("lsn"), "pk", F.lit("insert").alias("operation"), "value", F.lit(0).cast("long").alias("op_offset"))
+    return log.materialize(snapshot.unionByName(rows), "pk").select("pk", F.col("value.event_type").alias("event_type"), F.col("value.value").alias("value"))
 
 
 @query("log_from_beginning", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS op_offset, true AS settled FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
@@ -253,11 +291,26 @@ def _(t):
     return log.from_beginning(snapshot.union(later)).select("o_orderkey", "op_offset", "settled")
 
 
-query("log_bytes")(lambda t: routed(t).groupBy("handle").agg(F.sum(F.octet_length(F.to_json(F.struct("lsn", "operation", "value")))).alias("bytes")))
-query("log_messages")(lambda t: log.messages(log.offsets(routing.route(change_log(t), OVER_50), "pk")))
-query("log_byte_cap")(lambda t: log.within_bytes(log.offsets(routing.route(change_log(t), OVER_50).withColumn("handle", F.lit("h")), "pk"), 100_000).select("lsn", "pk", "operation"))
-query("shape_counts", "SELECT c_nationkey AS tenant, count(*) AS shapes FROM customer GROUP BY 1")(lambda t: t.customer.groupBy(F.col("c_nationkey").alias("tenant")).agg(F.count("*").alias("shapes")))
-query("lsn_checkpoint", CHANGES + "SELECT pk, max(lsn) AS lsn FROM ch GROUP BY pk")(lambda t: change_log(t).groupBy("pk").agg(F.max("lsn").alias("lsn")))
+BODY = """'{"lsn":' || lsn || ',"op_offset":' || op_offset || ',"operation":"' || operation || '","value":{"event_type":"' || event_type || '"}}'"""
+
+
+def typed_log(t: Tables) -> DataFrame:
+    rows = routing.route(change_log(t), Shape("events", ("user_id",), OVER_50.predicate, ("event_type",)))
+    return log.offsets(rows).withColumn("handle", F.concat(F.lit("h"), (F.col("pk") % 3).cast("string")))
+
+
+query("log_messages", OFFSETS + f"SELECT lsn, op_offset, {BODY} AS body, 'data: ' || {BODY} || chr(10) || chr(10) AS event FROM o")(lambda t: log.messages(typed_log(t)))
+query("log_bytes", OFFSETS + f"SELECT 'h' || pk % 3 AS handle, sum(strlen({BODY}))::BIGINT AS bytes FROM o GROUP BY 1")(lambda t: log.total_bytes(typed_log(t), log.message_bytes()))
+query("log_byte_cap", "WITH RECURSIVE " + OFFSETS.split("WITH ", 1)[1] + f""", b AS (
+  SELECT handle, lsn, bytes, row_number() OVER (PARTITION BY handle ORDER BY lsn) AS i FROM (SELECT 'h' || pk % 3 AS handle, lsn, sum(strlen({BODY}))::BIGINT AS bytes FROM o GROUP BY 1, 2)
+), f AS (
+  SELECT handle, i, lsn, bytes <= 8000 AS fits, CASE WHEN bytes <= 8000 THEN bytes ELSE 0 END AS total FROM b WHERE i = 1
+  UNION ALL SELECT b.handle, b.i, b.lsn, f.total + b.bytes <= 8000, CASE WHEN f.total + b.bytes <= 8000 THEN f.total + b.bytes ELSE f.total END FROM f JOIN b ON b.handle = f.handle AND b.i = f.i + 1
+) SELECT o.lsn, op_offset, pk, operation FROM o JOIN f ON f.lsn = o.lsn AND f.handle = 'h' || pk % 3 WHERE fits""")(
+    lambda t: log.within_bytes(typed_log(t), 8_000, log.message_bytes()).select("lsn", "op_offset", "pk", "operation")
+)
+query("shape_counts", "SELECT c_nationkey AS tenant, count(*) AS shapes FROM customer GROUP BY 1")(lambda t: metrics.counts(t.customer.withColumnRenamed("c_nationkey", "tenant"), "tenant", "shapes"))
+query("lsn_checkpoint", CHANGES + "SELECT pk, max(lsn) AS lsn FROM ch GROUP BY pk")(lambda t: cdc.checkpoint(change_log(t), "pk"))
 query("snapshot_visibility", "SELECT event_id, event_id < 300 OR (event_id < 900 AND event_id NOT IN (400, 555, 700)) AS visible FROM events")(
     lambda t: t.events.select("event_id", log.visible(F.col("event_id"), F.lit(300), F.lit(900), F.array(*map(F.lit, (400, 555, 700)))).alias("visible"))
 )
@@ -283,18 +336,33 @@ def _(t):
     return subquery.outer_delta(t.orders, "o_custkey", flips, F.col("o_orderstatus") == "F").select("o_orderkey", "operation")
 
 
-# ---------------------------------------------------------------- cache
+@query("subquery_maintained", CHANGES + """, n AS (
+  SELECT floor(new_value / 5)::BIGINT AS v, 1 AS d, lsn FROM ch WHERE new_value > 20 UNION ALL SELECT floor(old_value / 5)::BIGINT, -1, lsn FROM ch WHERE old_value > 20
+), c AS (
+  SELECT v, sum(CASE WHEN lsn < 250 THEN d ELSE 0 END) AS before, sum(d) AS now, max(CASE WHEN lsn >= 250 THEN lsn END) AS lsn FROM n GROUP BY v
+)
+SELECT o_orderkey, lsn, CASE WHEN now > 0 THEN 'insert' ELSE 'delete' END AS operation FROM orders JOIN c ON o_custkey = v WHERE (before > 0) <> (now > 0) AND o_orderstatus = 'F'""")
+def _(t):
+    """``o_custkey IN (SELECT floor(value / 5) FROM events WHERE value > 20) AND o_orderstatus
+    = 'F'`` as the inner table changes: counts up to transaction 250, then the changes."""
+    rows = change_log(t)
+    matches, value = lambda side: F.col(f"{side}.value") > 20, lambda side: F.floor(F.col(f"{side}.value") / 5).cast("long")
+    empty = t.spark.createDataFrame([], "value long, n long")
+    counts, _ = subquery.maintained(empty, rows.where("lsn < 250"), matches, value)
+    _, flips = subquery.maintained(counts, rows.where("lsn >= 250"), matches, value)
+    return subquery.outer_delta(t.orders, "o_custkey", flips, F.col("o_orderstatus") == "F").select("o_orderkey", "lsn", "operation")
 
 
-def entries(t: Tables) -> DataFrame:
-    """Cached order lists: one for each customer."""
-    return t.orders.groupBy(F.concat(F.lit("orders:cust="), F.col("o_custkey").cast("string")).alias("key")).agg(
-        F.lit("orders").alias("table"), F.lit(True).alias("is_list"), F.collect_list(F.struct("o_orderkey")).alias("items")
-    )
+# ---------------------------------------------------------------- cache
 
 
 def index_of(t: Tables) -> DataFrame:
-    return cache.reverse_index(entries(t), "items", "o_orderkey")
+    """Orders are cached as lists: one for each customer."""
+    return cache.index_rows(t.orders, "orders", "o_orderkey", F.concat(F.lit("orders:cust="), F.col("o_custkey").cast("string")))
+
+
+def lists_of(t: Tables) -> DataFrame:
+    return index_of(t).where("is_list").select("table", "key").distinct()
 
 
 def row_changes(t: Tables) -> DataFrame:
@@ -303,11 +371,11 @@ def row_changes(t: Tables) -> DataFrame:
 
 KEY = "'orders:cust=' || o_custkey"
 query("reverse_index_build", f"SELECT 'orders' AS \"table\", o_orderkey AS pk, {KEY} AS key, true AS is_list FROM orders")(index_of)
-query("index_rebuild", "SELECT 'orders' AS \"table\", count(*) AS pks, count(DISTINCT o_custkey) AS keys FROM orders")(lambda t: index_of(t).groupBy("table").agg(F.count("*").alias("pks"), F.countDistinct("key").alias("keys")))
+query("index_rebuild", "SELECT 'orders' AS \"table\", count(*) AS pks, count(DISTINCT o_custkey) AS keys FROM orders")(lambda t: cache.index_size(index_of(t)))
 query("invalidate_by_row", f"SELECT DISTINCT 'orders' AS \"table\", {KEY} AS key FROM orders WHERE o_orderkey IN (SELECT event_id FROM events WHERE event_type <> 'signup')")(
     lambda t: cache.keys_of_rows(row_changes(t).where("op = 'update'"), index_of(t))
 )
-query("invalidate_lists", f"SELECT DISTINCT 'orders' AS \"table\", {KEY} AS key FROM orders")(lambda t: cache.keys_of_lists(row_changes(t), entries(t).where("is_list")))
+query("invalidate_lists", f"SELECT DISTINCT 'orders' AS \"table\", {KEY} AS key FROM orders")(lambda t: cache.keys_of_lists(row_changes(t), lists_of(t)))
 query("flush_table", f"SELECT DISTINCT 'orders' AS \"table\", {KEY} AS key FROM orders UNION ALL SELECT 'orders', 'orders:empty'")(
     lambda t: cache.keys_of_table(index_of(t), t.spark.createDataFrame([("orders", "orders:empty"), ("part", "part:x")], "table string, key string"), "orders")
 )
@@ -399,13 +467,29 @@ query("hash_ring_owner", RING.format(nodes=5) + "SELECT tenant, node FROM own")(
 query("ring_rebalance", RING.format(nodes=5) + ", ring6 AS (SELECT n_name AS node, ('0x' || substring(sha256(n_name || '#' || i), 1, 8))::BIGINT AS point FROM nation, range(128) r(i) WHERE n_nationkey < 6), own6 AS (SELECT tenant, coalesce((SELECT arg_min(node, point) FROM ring6 WHERE point >= spot), (SELECT arg_min(node, point) FROM ring6)) AS node FROM ten) SELECT tenant, own.node AS source, own6.node AS target FROM own JOIN own6 USING (tenant) WHERE own.node <> own6.node")(
     lambda t: owned(t, 5).withColumnRenamed("node", "source").join(owned(t, 6).withColumnRenamed("node", "target"), "tenant").where("source <> target")
 )
-query("tenant_resolve", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), n_name) AS credential FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")(
-    lambda t: t.customer.join(F.broadcast(t.nation.where("n_regionkey = 1")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), "n_name").alias("credential"))
+query("tenant_resolve", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), n_name) AS credential FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(
+    lambda t: tables.resolved(t.customer.select("c_custkey", F.col("c_nationkey").alias("k"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("credential")), t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), "k", {"credential": "n_name"}).drop("k")
+)
+DEFINED = {"nation": ("n_nationkey",), "customer": ("c_custkey",), "conversations": ("conv_id", "turn")}
+query("table_metadata", "SELECT * FROM (VALUES ('nation', 'n_nationkey', 0, 'int', true, true), ('nation', 'n_name', 1, 'string', true, false), ('nation', 'n_regionkey', 2, 'int', true, false)) v(\"table\", \"column\", position, type, nullable, is_key)")(
+    lambda t: tables.metadata(t.spark, {"nation": (t.nation, DEFINED["nation"])})
 )
 
+
+@query("schema_drift", "SELECT c_custkey AS handle, 'customer' AS \"table\" FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'conversations' FROM customer WHERE c_custkey % 3 = 1")
+def _(t):
+    """Shapes of three tables, of which one gets another type, one another key, one nothing."""
+    before = {n: (getattr(t, n), k) for n, k in DEFINED.items()}
+    after = before | {"customer": (t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")), ("c_custkey",)), "conversations": (t.conversations, ("conv_id",)), "new": (t.region, ())}
+    changed = tables.drifted(*[tables.fingerprints(tables.metadata(t.spark, d)) for d in (before, after)])
+    name = F.element_at(F.array(F.lit("customer"), F.lit("conversations"), F.lit("nation")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return tables.ended(t.customer.select(F.col("c_custkey").alias("handle"), name.alias("table")), changed).select("handle", "table")
+
+
 # ---------------------------------------------------------------- metrics
 
-query("hot_keys_window", "SELECT user_id, time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 1")(lambda t: metrics.per_window(t.events, "ts", "10 seconds", "user_id").where("n >= 1"))
+#: The test events are sparse: in a day as many keys are hot as in ten seconds of a busy cache.
+query("hot_keys_window", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 5")(lambda t: metrics.hot(metrics.per_window(t.events, "ts", "1 day", "user_id"), 5))
 query("coalesce_overflow", "SELECT event_type, time_bucket(INTERVAL 3600 SECOND, ts) AS start, greatest(count(*) - 5, 0) AS overflow FROM events GROUP BY 1, 2")(
     lambda t: metrics.per_window(t.events, "ts", "1 hour", "event_type").select("event_type", "start", F.greatest(F.col("n") - 5, F.lit(0)).alias("overflow"))
 )
@@ -414,14 +498,14 @@ query("latency_histogram", "SELECT event_type, " + ", ".join(f"sum(CASE WHEN val
     lambda t: metrics.histogram(t.events, "value", EDGES, "event_type")
 )
 query("metrics_rollup", "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, arg_max(value, event_id) AS last FROM events GROUP BY 1")(
-    lambda t: t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.max_by("value", "event_id").alias("last"))
+    lambda t: metrics.rollup(t.events, "event_type", "value", "event_id").withColumn("total", F.round("total", 3))
 )
 query("latency_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")(
-    lambda t: t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", q / 100), 6).alias(f"p{q}") for q in (50, 95, 99)])
+    lambda t: metrics.quantiles(t.events, "event_type", "value", {f"p{q}": q / 100 for q in (50, 95, 99)}).select("event_type", *[F.round(f"p{q}", 6).alias(f"p{q}") for q in (50, 95, 99)])
 )
 query("hit_ratio", "SELECT user_id, round(avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM events GROUP BY 1")(lambda t: t.events.groupBy("user_id").agg(F.round(metrics.ratio(F.col("event_type") == "view"), 6).alias("ratio")))
 query("set_ops_keys", "(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")(
-    lambda t: t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).intersect(t.orders.where("o_orderstatus = 'F'").select("o_custkey")).subtract(t.customer.where("c_acctbal < 0").select("c_custkey"))
+    lambda t: metrics.in_all_but(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), t.orders.where("o_orderstatus = 'F'").select("o_custkey"), but=t.customer.where("c_acctbal < 0").select("c_custkey"))
 )
 
 # ---------------------------------------------------------------- key/value commands
@@ -457,7 +541,7 @@ query("row_numbers", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1
 # ---------------------------------------------------------------- sources that stream
 
 
-@query("cdc_stream", CHANGES + "SELECT lsn, pk, operation, value FROM r")
+@query("cdc_stream", CHANGES + "SELECT lsn, seq AS op_offset, pk, operation, value FROM r")
 def _(t):
     """The flagship as a stream: change files in, the shape's log out."""
     from tidewater.operators.numbering import shared_path
@@ -467,12 +551,14 @@ def _(t):
     at = shared_path(rows, "cdc")
     rows.write.parquet(f"{at}/in")
     live.write_log(live.changes(t.spark, f"{at}/in", rows.schema), OVER_50, f"{at}/out", f"{at}/state").awaitTermination()
-    return live.read_log(t.spark, f"{at}/out").select("lsn", "pk", "operation", "value.value")
+    return live.read_log(t.spark, f"{at}/out").select("lsn", "op_offset", "pk", "operation", "value.value")
 
 
-@query("pgoutput_decode", "SELECT n_nationkey::BIGINT AS lsn, 'insert' AS op, n_nationkey::VARCHAR AS pk, n_name AS name FROM nation")
+@query("pgoutput_decode", """SELECT o_orderkey // 3 AS lsn, 'insert' AS op, o_orderkey::VARCHAR AS pk, CASE WHEN o_orderkey % 1000 < 500 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders
+UNION ALL SELECT o_orderkey // 3, 'truncate', NULL, NULL FROM orders WHERE o_orderkey % 300 = 2""")
 def _(t):
-    """Frames of inserts into nation, made from the table, decoded again."""
+    """Frames of inserts into orders, three in a transaction, made from the table, decoded
+    again; the table is described anew, with other columns, every 500 orders."""
     from tidewater.sources import pgoutput
 
     def number(column, width):
@@ -481,9 +567,18 @@ def _(t):
     def cell(text):
         return F.concat(F.lit(b"t"), number(F.octet_length(text), 4), F.encode(text, "UTF-8"))
 
-    n, key = t.nation, F.col("n_nationkey").cast("long")
-    begin = n.select((key * 3 + 1).alias("seq"), F.concat(F.lit(b"B"), number(key, 8), F.lit(bytes(12))).alias("data"))
-    put = n.select((key * 3 + 2).alias("seq"), F.concat(F.lit(b"I\0\0\0\x07N\0\x02"), cell(key.cast("string")), cell(F.col("n_name"))).alias("data"))
-    told = b"R\0\0\0\x07public\0nation\0d\0\x02\x01n_nationkey\0\0\0\0\x14\xff\xff\xff\xff\0n_name\0\0\0\0\x19\xff\xff\xff\xff"
-    frames = begin.union(put).union(t.spark.createDataFrame([(0, told)], "seq long, data binary")).withColumn("stream", F.lit(0).cast("long"))
-    return pgoutput.changes(frames).select("lsn", "op", "pk", F.col("new.n_name").alias("name"))
+    def told(*columns):
+        return b"R\0\0\0\x07public\0orders\0d" + len(columns).to_bytes(2, "big") + b"".join((b"\0" if i else b"\x01") + c.encode() + bytes(9) for i, c in enumerate(columns))
+
+    key = F.col("o_orderkey")
+    rows, first = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), key % 1000 < 500
+    forms = [told("o_orderkey", "o_orderstatus"), told("o_orderkey", "clerk", "o_orderpriority")]
+    short = F.concat(F.lit(b"I\0\0\0\x07N\0\x02"), cell(key.cast("string")), cell(F.col("o_orderstatus")))
+    long = F.concat(F.lit(b"I\0\0\0\x07N\0\x03"), cell(key.cast("string")), F.lit(b"n"), cell(F.col("o_orderpriority")))
+    begin = rows.where(key % 3 == 0).select((key * 10 + 1).alias("seq"), F.concat(F.lit(b"B"), number(F.floor(key / 3), 8), F.lit(bytes(12))).alias("data"))
+    describe = rows.where(key % 500 == 0).select(key * 10, F.when(first, F.lit(forms[0])).otherwise(F.lit(forms[1])))
+    put = rows.select(key * 10 + 2, F.when(first, short).otherwise(long))
+    gone = rows.where(key % 300 == 2).select(key * 10 + 3, F.lit(b"T\0\0\0\x01\0\0\0\0\x07"))
+    frames = begin.union(put).union(describe).union(gone).withColumn("stream", F.lit(0).cast("long"))
+    value = F.coalesce(F.col("new.o_orderstatus"), F.col("new.o_orderpriority"))
+    return pgoutput.changes(frames).select("lsn", "op", "pk", value.alias("value"))

@@ -11,6 +11,7 @@ is pushed to the scan.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,31 @@ def null() -> Column:
     return F.lit(None).cast("boolean")
 
 
+@dataclass(frozen=True)
+class Key:
+    """A value that a row must have: in the column itself or, ``inside``, in its array.
+    ``value`` is a number, a text or a truth value, as the column's kind asks."""
+
+    column: str
+    value: float | str | bool
+    inside: bool = False
+
+
 class Expr:
-    """Value, error and kind of an expression."""
+    """Value, error and kind of an expression, and what an index can use of it: the column
+    or the constant that it is, and for a condition its ``keys``, of which matching rows
+    have one at least (None: no such keys). ``exact``: having one of them is the condition."""
 
-    def __init__(self, value: Column, kind: str, errors: tuple[Column, ...] = ()):
+    def __init__(self, value: Column, kind: str, errors: tuple[Column, ...] = (), column: str | None = None, constant: tuple = (), keys: tuple[Key, ...] | None = None, exact: bool = False, literal: bool = False):
         self.value, self.kind, self.errors = value, kind, errors
+        self.column, self.constant, self.keys, self.exact, self.literal = column, constant, keys, exact, literal
+
+    def __bool__(self):
+        raise UnsupportedPredicate("and, or, not and chained comparisons: write & | ~ and parentheses")
+
+    def _keyed(self, keys: tuple[Key, ...] | None, exact: bool) -> Expr:
+        self.keys, self.exact = keys, exact and keys is not None
+        return self
 
     @property
     def number(self) -> bool:
@@ -61,7 +82,9 @@ class Expr:
         return self._with(_compared(self.value, self.kind, other.value, other.kind, op), "bool", other)
 
     def __eq__(self, other):  # type: ignore[override]
-        return self._compare(other, lambda a, b: a == b)
+        other = lit(other)
+        keys = _key(self, self.kind, other, False) or _key(other, other.kind, self, False)
+        return self._compare(other, lambda a, b: a == b)._keyed(keys, True)
 
     def __ne__(self, other):  # type: ignore[override]
         return self._compare(other, lambda a, b: a != b)
@@ -85,10 +108,12 @@ class Expr:
         return self.value if self.kind == "bool" else null()
 
     def __and__(self, other):
-        return self._with(self._truth() & other._truth(), "bool", other)
+        keys = self.keys if self.keys is not None else other.keys  # either narrows
+        return self._with(self._truth() & other._truth(), "bool", other)._keyed(keys, False)
 
     def __or__(self, other):
-        return self._with(self._truth() | other._truth(), "bool", other)
+        keys = None if self.keys is None or other.keys is None else tuple(dict.fromkeys((*self.keys, *other.keys)))
+        return self._with(self._truth() | other._truth(), "bool", other)._keyed(keys, self.exact and other.exact)
 
     def __invert__(self):
         return self._with(~self._truth(), "bool")
@@ -183,17 +208,21 @@ class Expr:
         return self._with(self.value.isNull(), "bool")
 
     def is_in(self, *items):
+        if not items:
+            raise UnsupportedPredicate("IN of no values")
         return reduce(lambda a, b: a | b, [self == i for i in items])
 
     def between(self, low, high):
         return (self >= low) & (self <= high)
 
     def like(self, pattern: str, any_case: bool = False):
+        if not isinstance(pattern, str):
+            raise UnsupportedPredicate("a pattern is a text")
         if self.kind != "text":
             return self._with(null(), "bool")
-        tail = re.search(r"\\*$", pattern).group()
-        pattern += "\\" * (len(tail) % 2)  # a lone backslash at the end stands for itself
-        pattern = re.sub(r"\\([^%_\\])", r"\1", pattern)
+        # escape pairs are taken whole, from the left; a lone backslash at the end, and one
+        # before another letter, stand for themselves and for nothing
+        pattern = re.sub(r"\\(.?)", lambda m: "\\" + (m[1] or "\\") if m[1] in ("", "%", "_", "\\") else m[1], pattern, flags=re.DOTALL)
         return self._with((self.value.ilike if any_case else self.value.like)(pattern), "bool")
 
     def ilike(self, pattern: str):
@@ -201,6 +230,8 @@ class Expr:
 
     # arrays
     def _members(self, other: Expr, test) -> Expr:
+        if not (self.literal or other.literal):
+            raise UnsupportedPredicate("one side of @>, <@ and && is an array of constants or expressions")
         if not (self.kind.startswith("array") and other.kind.startswith("array")):
             return self._with(null(), "bool", other)
         known = self.value.isNotNull() & other.value.isNotNull()
@@ -208,7 +239,11 @@ class Expr:
 
     def contains(self, other):
         """Every member of ``other`` equals a member of this; a null equals nothing."""
-        return self._members(lit(other), lambda a, b: F.forall(b.value, lambda x: F.coalesce(F.exists(a.value, lambda y: x == y), F.lit(False))))
+        other = lit(other)
+        keys = None
+        if other.constant and other.constant[0] and self.column:  # any one of the members narrows
+            keys = _key(self, self.kind.partition(":")[2], lit(other.constant[0][0]), True)
+        return self._members(other, lambda a, b: F.forall(b.value, lambda x: F.coalesce(F.exists(a.value, lambda y: x == y), F.lit(False))))._keyed(keys, len(other.constant[0]) == 1 if keys else False)
 
     def contained_in(self, other):
         return lit(other).contains(self)
@@ -224,8 +259,10 @@ class Expr:
         found = (F.forall if every else F.exists)(items.value, lambda y: _compared(self.value, self.kind, y, inner, op))
         return self._with(F.when(self.value.isNotNull(), found), "bool", items)
 
-    def any_of(self, items, op=lambda a, b: a == b):
-        return self._quantified(items, op, False)
+    def any_of(self, items, op=None):
+        items = lit(items)
+        keys = _key(items, items.kind.partition(":")[2], self, True) if op is None else None
+        return self._quantified(items, op or (lambda a, b: a == b), False)._keyed(keys, True)
 
     def all_of(self, items, op=lambda a, b: a == b):
         return self._quantified(items, op, True)
@@ -251,6 +288,34 @@ class Expr:
         return ~reduce(lambda a, b: a | b, self.errors) & F.coalesce(truth, F.lit(False))
 
 
+def _key(column: Expr, kind: str, constant: Expr, inside: bool) -> tuple[Key, ...] | None:
+    """The key of ``column = constant``, in the form that the column's kind asks for, or
+    None where equality is no equality of keys (texts read as numbers or times, nulls)."""
+    if not column.column or not constant.constant or inside != column.kind.startswith("array"):
+        return None
+    value = constant.constant[0]
+    if kind in ("int", "float"):
+        if isinstance(value, str):
+            value = float(value) if re.match(NUMBER, value) and not inside else None
+        value = None if isinstance(value, bool) or not isinstance(value, (int, float)) else float(value)
+    elif kind == "bool":
+        if isinstance(value, str) and not inside:
+            low = value.strip(" ").lower()
+            value = True if low in TRUE else False if low in FALSE else None
+        value = value if isinstance(value, bool) else None
+    else:
+        value = value if kind == "text" and isinstance(value, str) else None
+    return None if value is None else (Key(column.column, value, inside),)
+
+
+def key_text(value: Column, kind: str) -> Column:
+    """A row's value (and an index's) as the text by which both meet: equal numbers give
+    equal texts, whatever their types."""
+    if kind in ("int", "float"):
+        return F.concat(F.lit("n:"), (value.cast("double") + F.lit(0.0)).cast("string"))
+    return F.concat(F.lit("b:" if kind == "bool" else "s:"), value.cast("string"))
+
+
 def _as_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
@@ -278,16 +343,20 @@ def lit(value) -> Expr:
         return value
     if value is None:
         return Expr(F.lit(None), "null")
+    if not isinstance(value, (bool, int, float, str, list, tuple)):
+        raise UnsupportedPredicate(f"a constant of type {type(value).__name__}")
+    if isinstance(value, int) and not -(2**63) <= value < 2**63:
+        raise UnsupportedPredicate(f"{value} does not fit 64 bits")
     if isinstance(value, (list, tuple)):
         inner = lit(next((v for v in value if v is not None), None)).kind
         kind = {"int": "bigint", "float": "double", "bool": "boolean"}.get(inner, "string")
-        return Expr(F.array(*(F.lit(v) for v in value)).cast(f"array<{kind}>"), f"array:{inner}")
+        return Expr(F.array(*(F.lit(v) for v in value)).cast(f"array<{kind}>"), f"array:{inner}", constant=(list(value),), literal=True)
     kind = "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "float" if isinstance(value, float) else "text"
-    return Expr(F.lit(value).cast("long") if kind == "int" else F.lit(value), kind)
+    return Expr(F.lit(value).cast("long") if kind == "int" else F.lit(value), kind, constant=(value,))
 
 
 def array(*items: Expr) -> Expr:
-    return Expr(F.array(*(i.value for i in items)), f"array:{items[0].kind}", sum((i.errors for i in items), ()))
+    return Expr(F.array(*(i.value for i in items)), f"array:{items[0].kind}", sum((i.errors for i in items), ()), literal=True)
 
 
 def _pick(name: str, items) -> Expr:
@@ -320,7 +389,7 @@ class Row:
         name = name.rpartition(".")[2]
         if name not in self.kinds:
             raise UnsupportedPredicate(f"unknown column {name}")
-        return Expr(F.col(f"{self.within}.{name}" if self.within else name), self.kinds[name])
+        return Expr(F.col(f"{self.within}.{name}" if self.within else name), self.kinds[name], column=name)
 
 
 def where(df: DataFrame, predicate=None) -> DataFrame:

@@ -34,6 +34,16 @@ def reverse_index(entries: DataFrame, items: str, pk: str) -> DataFrame:
     return entries.select("table", "key", "is_list", F.explode(items).alias("i")).select("table", F.col(f"i.{pk}").alias("pk"), "key", "is_list")
 
 
+def index_rows(rows: DataFrame, table: str, pk: str, key: Column, is_list: bool = True) -> DataFrame:
+    """The same from rows that are cached one by one or as lists by ``key``: no list is
+    gathered, so nothing is shuffled."""
+    return rows.select(F.lit(table).alias("table"), F.col(pk).alias("pk"), key.alias("key"), F.lit(is_list).alias("is_list"))
+
+
+def index_size(index: DataFrame) -> DataFrame:
+    return index.groupBy("table").agg(F.count("*").alias("pks"), F.countDistinct("key").alias("keys"))
+
+
 def keys_of_rows(changes: DataFrame, index: DataFrame) -> DataFrame:
     """(table, key) that changed rows invalidate."""
     return changes.join(index, ["table", "pk"]).select("table", "key").distinct()

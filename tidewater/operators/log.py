@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 INFINITE = (1 << 63) - 1
 
 
-def offsets(log: DataFrame, *order: str, by: str = "lsn") -> DataFrame:
-    """The log with op_offset 0, 1, ... inside each transaction."""
-    return log.withColumn("op_offset", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
+def offsets(log: DataFrame) -> DataFrame:
+    """The log with op_offset: the place of the change inside its transaction. It is the
+    change's own seq, so a transaction that two micro-batches bring has no offset twice,
+    and a shape's messages keep their order whatever other changes it leaves out."""
+    return log.withColumn("op_offset", F.col("seq"))
 
 
 def encode(lsn: Column, op: Column) -> Column:
@@ -46,16 +52,45 @@ def retained(log: DataFrame, keep: int, by: str = "handle") -> DataFrame:
 
 
 def must_refetch(readers: DataFrame, kept: DataFrame) -> DataFrame:
-    """Readers (handle, lsn) whose place was dropped: strictly before the first kept one."""
-    first = kept.groupBy("handle").agg(F.min("lsn").alias("first_lsn"))
-    return readers.join(first, "handle", "left").withColumn("must_refetch", F.coalesce(F.col("lsn") < F.col("first_lsn"), F.lit(False)))
+    """Readers (handle, lsn, op_offset) whose place was dropped: strictly before the first
+    message that is kept, by the whole offset."""
+    first = kept.groupBy("handle").agg(F.min(F.struct("lsn", "op_offset")).alias("first"))
+    late = F.struct("lsn", "op_offset") < F.col("first")
+    return readers.join(first, "handle", "left").withColumn("must_refetch", F.coalesce(late, F.lit(False))).drop("first")
+
+
+BODY = ("lsn", "op_offset", "operation", "value")
+
+
+def message_bytes() -> Column:
+    """Bytes of a message's JSON body."""
+    return F.octet_length(F.to_json(F.struct(*BODY)))
+
+
+def total_bytes(log: DataFrame, size: Column, by: str = "handle") -> DataFrame:
+    return log.groupBy(by).agg(F.sum(size).cast("long").alias("bytes"))
+
+
+def within_bytes(log: DataFrame, cap: int, size: Column, by: str = "handle", batch: str = "lsn") -> DataFrame:
+    """What a log of at most ``cap`` bytes takes: batches come in order and whole; one that
+    does not fit is left out, and the next that fits is taken. That is a rule about one
+    batch after the other: the sizes (a row for each batch) are sorted by log, and each
+    task keeps one running total."""
+    sizes = log.groupBy(by, batch).agg(F.sum(size).cast("long").alias("bytes"))
+    ordered = sizes.repartition(by).sortWithinPartitions(by, batch).select(by, batch, "bytes")
 
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0
+        for b in batches:
+            fits = []
+            for handle, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if handle != now:
+                    now, total = handle, 0
+                fits.append(total + (n or 0) <= cap)
+                total += (n or 0) * fits[-1]
+            yield b.filter(pa.array(fits, pa.bool_())).select([0, 1])
 
-def within_bytes(log: DataFrame, cap: int, by: str = "handle", batch: str = "lsn") -> DataFrame:
-    """Batches as long as their log stays within ``cap`` bytes; a batch goes in whole."""
-    sizes = log.groupBy(by, batch).agg(F.sum(F.octet_length(F.to_json("value"))).alias("bytes"))
-    total = F.sum("bytes").over(Window.partitionBy(by).orderBy(batch))
-    fits = sizes.withColumn("total", total).where(F.col("total") <= cap).select(by, batch)
+    fits = ordered.mapInArrow(take, StructType([ordered.schema[by], ordered.schema[batch]]))
     return log.join(fits, [by, batch], "left_semi")
 
 
@@ -72,8 +107,8 @@ def tip(log: DataFrame, by: str = "handle") -> DataFrame:
 
 def messages(log: DataFrame) -> DataFrame:
     """The log as JSON bodies (body) and as server-sent events (event)."""
-    body = F.to_json(F.struct("lsn", "op_offset", "operation", "value"))
-    return log.select(body.alias("body"), F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("event"))
+    body = F.to_json(F.struct(*BODY))
+    return log.select("lsn", "op_offset", body.alias("body"), F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("event"))
 
 
 def visible(xid: Column, xmin: Column, xmax: Column, running: Column) -> Column:

@@ -1,13 +1,28 @@
-"""Routes changes to shapes: what a change of a row is to a filtered view."""
+"""Routes changes to shapes: what a change of a row is to a filtered view.
+
+Many shapes are routed by an index of the values that their predicates ask for: a change
+meets its shapes by an equi-join on the values that it has before and after, so the work
+for a change does not grow with their number. Shapes whose predicate is more than that
+are tested only on what the join found; those that ask for no value are tested on all.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.predicates import Row
+from tidewater.functions.predicates import Row, key_text
+from tidewater.operators.numbering import running
 from tidewater.plans.shape import Shape
 
+#: Shapes that are tested in one expression: more would pass the limit of generated code.
+TESTED = 50
+ID = ["lsn", "seq", "pk"]
+IMAGES = [*ID, "op", "new", "old"]
+
 
 def transition(before: Column, after: Column) -> Column:
     """insert when a row enters the view, delete when it leaves, update when it stays."""
@@ -27,42 +42,164 @@ def _image(side: str, shape: Shape) -> Column:
 
 
 def route(changes: DataFrame, shape: Shape) -> DataFrame:
-    """(lsn, pk, operation, value, old_value) of one shape's log; no shuffle."""
+    """(lsn, seq, pk, operation, value, old_value) of one shape's log; no shuffle. What is
+    no change of a row (truncates, messages) is left out: see ``without_truncates``."""
+    changes = changes.where(F.col("op").isin("insert", "update", "delete"))
     before, after = _sides(changes, shape)
     rows = changes.withColumn("operation", transition(before, after)).where("operation is not null")
     value = F.when(F.col("operation") == "delete", F.coalesce(_image("old", shape), _image("new", shape))).otherwise(F.coalesce(_image("new", shape), _image("old", shape)))
     old = F.when(F.col("operation") != "insert", _image("old", shape)) if shape.replica == "full" else F.lit(None)
-    return rows.select("lsn", "pk", "operation", value.alias("value"), old.alias("old_value"))
+    return rows.select(*ID, "operation", value.alias("value"), old.alias("old_value"))
+
+
+def without_truncates(changes: DataFrame) -> DataFrame:
+    """``changes`` in which a truncate of the table is a delete of every key that has a row
+    then, at the truncate's place. Changes and truncates are counted in order over ranges;
+    a key's row is gone by the first truncate after its last change."""
+    mark = F.when(F.col("op") == "truncate", 1).otherwise(0).cast("long")
+    rows = running(changes, [], ["lsn", "seq", "pk"], mark, "__epoch")
+    ends = rows.where("op = 'truncate'").select(F.col("__epoch").alias("__end"), F.col("lsn").alias("__lsn"), F.col("seq").alias("__seq"))
+    own = rows.where("op <> 'truncate'")
+    last = own.groupBy("pk", "__epoch").agg(F.max_by(F.struct("op", "new"), F.struct("lsn", "seq")).alias("m")).where("m.op <> 'delete'")
+    gone = last.join(ends, last["__epoch"] + 1 == ends["__end"]).select(
+        F.col("__lsn").alias("lsn"), F.col("__seq").alias("seq"), "pk", F.lit("delete").alias("op"), F.lit(None).cast(changes.schema["new"].dataType).alias("new"), F.col("m.new").alias("old")
+    )
+    return own.select(*ID, "op", "new", "old").unionByName(gone)
 
 
 def route_many(changes: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
-    """(handle, lsn, pk, operation, value) of many shapes in one pass over the changes."""
-    arms = []
-    for name, shape in shapes.items():
-        arms.append(F.struct(F.lit(name).alias("handle"), transition(*_sides(changes, shape)).alias("operation")))
-    rows = changes.withColumn("arm", F.explode(F.filter(F.array(*arms), lambda a: a["operation"].isNotNull())))
-    value = F.when(F.col("arm.operation") == "delete", F.coalesce("old", "new")).otherwise(F.coalesce("new", "old"))
-    return rows.select("arm.handle", "lsn", "pk", "arm.operation", value.alias("value"))
-
-
-def candidates(changes: DataFrame, index: DataFrame, columns: list[str], unindexed: list[str]) -> DataFrame:
-    """(lsn, handle) of shapes that a change may concern. ``index`` holds (column, value,
-    handle) of shapes that ask for a value; ``unindexed`` the handles of all others."""
-    keys = F.array_distinct(F.flatten(F.array(*[F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{s}.{c}").cast("string").alias("value")) for c in columns]) for s in ("new", "old")])))
-    asked = changes.select("lsn", F.explode(keys).alias("k")).select("lsn", "k.column", "k.value").where("value is not null")
-    found = asked.join(index, ["column", "value"]).select("lsn", "handle")
-    if unindexed:
-        found = found.union(changes.select("lsn", F.explode(F.array(*map(F.lit, unindexed)))))
-    return found.distinct()
-
-
-def route_indexed(changes: DataFrame, index: DataFrame, column: str) -> DataFrame:
-    """Equality shapes ``column = value`` by an equi-join on the value before and after:
-    the work for a change does not grow with the number of shapes."""
-    before = F.when(F.col("op") != "insert", F.col(f"old.{column}").cast("string"))
-    after = F.when(F.col("op") != "delete", F.col(f"new.{column}").cast("string"))
-    keys = F.array_distinct(F.array_compact(F.array(before, after)))
-    rows = changes.select("lsn", "pk", before.alias("was"), after.alias("is"), F.explode(keys).alias("value"))
-    rows = rows.join(index.where(F.col("column") == column).select("value", "handle"), "value")
-    same = lambda c: F.coalesce(F.col(c) == F.col("value"), F.lit(False))
-    return rows.select("handle", "lsn", "pk", transition(same("was"), same("is")).alias("operation"))
+    """(handle, lsn, seq, pk, operation, value) of many shapes that are all tested on every
+    change, in one pass for ``TESTED`` of them."""
+    changes = changes.where(F.col("op").isin("insert", "update", "delete"))
+    names, parts = list(shapes), []
+    for lo in range(0, len(names), TESTED):
+        arms = [F.struct(F.lit(n).alias("handle"), transition(*_sides(changes, shapes[n])).alias("operation")) for n in names[lo : lo + TESTED]]
+        rows = changes.withColumn("arm", F.explode(F.filter(F.array(*arms), lambda a: a["operation"].isNotNull())))
+        parts.append(rows.select(F.col("arm.handle").alias("handle"), *ID, F.col("arm.operation").alias("operation"), _value("arm.operation")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _value(operation: str) -> Column:
+    return F.when(F.col(operation) == "delete", F.coalesce("old", "new")).otherwise(F.coalesce("new", "old")).alias("value")
+
+
+class ShapeIndex:
+    """Which values the predicates of many shapes ask for, derived once.
+
+    ``keys``: of each shape, the keys of which every matching row has one, and whether
+    having one is all that the predicate asks; no keys (None): it may match any row. A
+    shape that cannot be built (its predicate raises, a column is unknown) stops no other
+    one: it is in ``failed`` with the reason, and left out."""
+
+    def __init__(self, changes: DataFrame, shapes: dict[str, Shape]):
+        self.shapes, self.failed, self.keys = {}, {}, {}
+        images = Row(changes, "new")
+        self.kinds = images.kinds
+        for name, shape in shapes.items():
+            try:
+                test = shape.predicate(images) if shape.predicate is not None else None
+                if test is not None:
+                    test.match()
+                unknown = [c for c in shape.columns if c not in self.kinds]
+                if unknown:
+                    raise ValueError(f"unknown columns {unknown}")
+                self.keys[name] = (None, False) if test is None else (test.keys, test.exact)
+                self.shapes[name] = shape
+            except Exception as failure:  # whatever a predicate raises
+                self.failed[name] = f"{type(failure).__name__}: {failure}"
+
+    def of_kind(self, kind: str) -> dict[str, Shape]:
+        """The shapes with one key that is all (one), with several (exact), with more to
+        test (tested), and without keys (none)."""
+
+        def is_kind(name: str) -> str:
+            keys, exact = self.keys[name]
+            return "none" if keys is None else "tested" if not exact else "one" if len(keys) == 1 else "exact"
+
+        return {n: s for n, s in self.shapes.items() if is_kind(n) == kind}
+
+    def table(self, spark: SparkSession, names: Iterable[str] | None = None) -> DataFrame:
+        """(column, inside, key, handle) of the shapes that have keys."""
+        rows = []
+        for name in self.shapes if names is None else names:
+            for k in self.keys[name][0] or ():
+                kind = self.kinds[k.column].rpartition(":")[2]
+                number = kind in ("int", "float")
+                rows.append((name, k.column, k.inside, k.value if number else None, None if number else str(k.value).lower() if kind == "bool" else k.value, kind))
+        table = spark.createDataFrame(rows, "handle string, column string, inside boolean, number double, text string, kind string")
+        key = F.when(F.col("number").isNotNull(), key_text(F.col("number"), "float")).when(F.col("kind") == "bool", key_text(F.col("text"), "bool")).otherwise(key_text(F.col("text"), "text"))
+        return table.select("column", "inside", key.alias("key"), "handle").distinct()
+
+    def columns(self) -> set[tuple[str, bool]]:
+        return {(k.column, k.inside) for keys, _ in self.keys.values() for k in keys or ()}
+
+
+KEY = "struct<column:string,inside:boolean,key:string>"
+
+
+def _column_keys(value: Column, name: str, kind: str, inside: bool) -> Column:
+    """The keys of one column's value: of itself, or of the members of its array."""
+    texts = F.transform(value, lambda v: key_text(v, kind)) if inside else F.array(key_text(value, kind))
+    texts = F.array_distinct(F.array_compact(F.coalesce(texts, F.array().cast("array<string>"))))
+    return F.transform(texts, lambda t: F.struct(F.lit(name).alias("column"), F.lit(inside).alias("inside"), t.alias("key")))
+
+
+def keys_of(changes: DataFrame, side: str, columns: set[tuple[str, bool]]) -> Column:
+    """The keys of a change's image on one side, as an array of (column, inside, key)."""
+    kinds = Row(changes, side).kinds
+    return F.flatten(F.array(*[_column_keys(F.col(f"{side}.{n}"), n, kinds[n].rpartition(":")[2], i) for n, i in sorted(columns)]))
+
+
+def met(changes: DataFrame, index: ShapeIndex, names: Iterable[str]) -> DataFrame:
+    """(lsn, seq, pk, op, new, old, handle, was, is): the changes that have a key of a shape,
+    before (was) or after (is), by an equi-join with the index. Images go along: they pass
+    no exchange while the index can be broadcast."""
+    none = F.array().cast(f"array<{KEY}>")
+    was, after = (F.when(F.col("op") != other, keys_of(changes, side, index.columns())).otherwise(none) for side, other in (("old", "insert"), ("new", "delete")))
+    asked = changes.select(*IMAGES, was.alias("__was"), after.alias("__is"))
+    asked = asked.select("*", F.explode(F.array_union("__was", "__is")).alias("k"))
+    asked = asked.select(*IMAGES, F.array_contains("__was", F.col("k")).alias("was"), F.array_contains("__is", F.col("k")).alias("is"), "k.column", "k.inside", "k.key")
+    return asked.join(index.table(changes.sparkSession, names), ["column", "inside", "key"]).drop("column", "inside", "key")
+
+
+def candidates(changes: DataFrame, index: ShapeIndex) -> DataFrame:
+    """(lsn, seq, pk, handle) of shapes that a change may concern: those one of whose keys
+    it has before or after, and all shapes without keys."""
+    rest = index.of_kind("none")
+    keyed = [n for n in index.shapes if n not in rest]
+    parts = [met(changes, index, keyed).select(*ID, "handle").distinct()] if keyed else []
+    if rest:
+        parts.append(changes.select(*ID, F.explode(F.array(*map(F.lit, rest))).alias("handle")))
+    return reduce(DataFrame.union, parts)
+
+
+def route_indexed(changes: DataFrame, index: ShapeIndex) -> DataFrame:
+    """(handle, lsn, seq, pk, operation, value) of many shapes, by the index of their keys.
+
+    Shapes that ask for one value need no further step: the join tells what the change is.
+    Of shapes with several keys a change may meet more than one, so these meetings are
+    brought together by change and shape. Shapes that ask for more than their keys are
+    tested then, ``TESTED`` of them in one expression; those without keys by ``route_many``."""
+    changes = changes.where(F.col("op").isin("insert", "update", "delete"))
+    one, exact, tested, none = map(index.of_kind, ("one", "exact", "tested", "none"))
+    parts = []
+    if one:
+        parts.append(met(changes, index, one).withColumn("operation", transition(F.col("was"), F.col("is"))))
+    if exact:
+        parts.append(_once(met(changes, index, exact)).withColumn("operation", transition(F.col("was"), F.col("is"))))
+    for lo in range(0, len(tested), TESTED):
+        own = list(tested)[lo : lo + TESTED]
+        arms = F.when(F.lit(False), F.lit(""))
+        for n in own:
+            arms = arms.when(F.col("handle") == n, transition(*_sides(changes, tested[n])))
+        parts.append(_once(met(changes, index, own)).withColumn("operation", arms).where("operation is not null"))
+    out = [p.select("handle", *ID, "operation", _value("operation")) for p in parts]
+    if none:
+        out.append(route_many(changes, none))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _once(meetings: DataFrame) -> DataFrame:
+    """One row for each change and shape."""
+    images = [F.any_value(c).alias(c) for c in ("op", "new", "old")]
+    return meetings.groupBy(*ID, "handle").agg(*images, F.max("was").alias("was"), F.max("is").alias("is"))

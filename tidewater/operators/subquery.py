@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,27 @@ def outer_delta(outer: DataFrame, column: str, flips: DataFrame, rest: Column |
         fine = F.coalesce(rest, F.lit(False))
         rows = rows.where(~fine if either else fine)
     return rows.withColumn("operation", F.when(F.col("entered"), "insert").otherwise("delete")).drop("entered")
+
+
+def member_counts(inner: DataFrame, column: str) -> DataFrame:
+    """(value, n): how many inner rows have a value; nulls are no members."""
+    return inner.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def maintained(counts: DataFrame, changes: DataFrame, matches: Callable[[str], Column], value: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
+    """Member counts after a batch of changes of the inner table, and the flips (value,
+    entered, lsn): values that are members now and were not, or the other way, with the
+    batch's last transaction that touched them. ``matches`` and ``value`` give the inner
+    condition and the value from an image ("old" or "new"). A change adds one for its new
+    image and takes one for its old one, so one of two rows with a value may go without
+    effect, and a row whose value changes leaves one and enters another; only what changed
+    is read, and counts of values that it touches."""
+    sides = [
+        changes.where(F.col(side).isNotNull() & F.coalesce(matches(side), F.lit(False))).select(value(side).alias("value"), F.lit(step).cast("long").alias("d"), "lsn")
+        for side, step in (("new", 1), ("old", -1))
+    ]
+    delta = sides[0].union(sides[1]).where("value is not null").groupBy("value").agg(F.sum("d").alias("d"), F.max("lsn").alias("lsn"))
+    after = delta.where("d <> 0").join(counts, "value", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    flips = after.where("(n > 0) <> (n + d > 0)").select("value", (F.col("n") + F.col("d") > 0).alias("entered"), "lsn")
+    both = counts.union(delta.select("value", "d")).groupBy("value").agg(F.sum("n").alias("n")).where("n > 0")
+    return both, flips

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,6 @@ class Shape:
     text: str = ""
     replica: str = "default"
     tenant: str = "t"
-    equals: tuple[tuple[str, str], ...] = field(default=())  # (column, value) that rows must have
 
     def check(self, df: DataFrame) -> None:
         unknown = [c for c in (*self.columns, *self.key) if c not in df.columns]
@@ -42,18 +42,28 @@ class Shape:
         return rows.select(*self.columns) if self.columns else rows
 
     def snapshot(self, df: DataFrame) -> DataFrame:
-        """The rows with their message key and offset (0, 0..n-1) in key order."""
+        """The rows with their message key and offset (0, 0..n-1) in key order. The sorted
+        rows are written when this is called (see ``numbering``)."""
         rows = numbered(self.selected(df), *self.key, name="op_offset")
         return rows.withColumns({"message_key": message_key(*self.key), "lsn": F.lit(0).cast("long")})
 
     def canonical(self) -> str:
+        """The text that tells shapes apart; ``canonical_text`` is the same over a table."""
         return "\n".join([self.tenant, self.table, ",".join(self.columns), self.text, self.replica])
 
+    def handle(self) -> str:
+        return hashlib.sha256(self.canonical().encode()).hexdigest()[:32]
+
 
 def message_key(*key: str) -> Column:
     return F.concat_ws(",", *[F.col(c).cast("string") for c in key])
 
 
+def canonical_text(tenant: Column, table: Column, columns: Column, text: Column, replica: Column) -> Column:
+    """The canonical text of shape definitions in a table (columns: an array of names)."""
+    return F.concat_ws("\n", tenant, table, F.array_join(columns, ","), text, replica)
+
+
 def handle(canonical: Column) -> Column:
     """The first 16 bytes of the canonical text's SHA-256."""
     return F.substring(F.sha2(canonical, 256), 1, 32)
