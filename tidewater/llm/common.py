@@ -6,17 +6,22 @@ input, whatever their names, pass it by.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.operators.numbering import shared_dir
 
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 20
-_CHECKPOINT = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
+#: A table of keys is broadcast up to so many rows, a hash join's table of some 50 MB.
+BROADCAST_ROWS = 500_000
+#: A group with more than one row in so many is large.
+HOT_SHARE = 1_000
 
 
 #: Rows that go to a Python worker at a time; Spark's default of 10,000 long texts is
@@ -37,15 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; an own one only where none is set (tests)."""
-    at = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
-    if not at:
-        app = spark.sparkContext.applicationId
-        at = _own.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -59,6 +55,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``keys``, a stored table: marked for broadcast if it has at most ``rows`` rows, as
+    it is if it has more, None if it has none."""
+    n = keys.count()
+    return None if not n else F.broadcast(keys) if n <= rows else keys
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with their groups (stored, a row for each ``key``, ``size`` rows of
+    ``total`` in each). Groups with more than one row in HOT_SHARE, fewer than HOT_SHARE
+    whatever the input, are broadcast, so no task gets all rows of a large group."""
+    large = F.col(size) * HOT_SHARE > total
+    hot = F.broadcast(groups.where(large))
+    if not hot.limit(1).count():
+        return rows.join(groups, key, how)
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those whose keys are in ``gone``; of rows whose keys are in
+    ``repeated``, one. ``keys`` names the columns of both tables (stored, distinct, apart)
+    and gives their values from ``docs``. Texts pass no exchange while a table can be
+    broadcast; a larger one is joined by a shuffle."""
+    named = {f"__{name}": value for name, value in keys.items()}
+    rows = docs.withColumns(named)
+
+    def match(table: DataFrame):
+        return reduce(lambda a, b: a & b, [rows[f"__{name}"].eqNullSafe(table[name]) for name in keys])
+
+    gone, repeated = small(gone), small(repeated)
+    out = rows if gone is None else rows.join(gone, match(gone), "left_anti")
+    if repeated is not None:
+        once = out.join(repeated, match(repeated), "left_semi").dropDuplicates(list(named))
+        out = out.join(repeated, match(repeated), "left_anti").union(once)
+    return out.select(*docs.columns)
+
+
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 places where its values start; null is empty."""
     if isinstance(column, pa.ChunkedArray):

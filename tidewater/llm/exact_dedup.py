@@ -1,9 +1,18 @@
 """Exact dedup (operator 6, DataFrame functions only).
 
 A digest index is a Parquet table bucketed and sorted by the digest of the
-normalised text. New rows are reduced to one per digest, rows whose digest the
-index holds already leave by a sort-merge anti-join (the index side is read in
-bucket order, without an exchange), and the rest is appended.
+normalised text. New rows come in batches of falling length, so that the first row of a
+text that the index meets is the one that stays: a batch is reduced to one row per
+digest, rows whose digest the index holds already leave by a sort-merge anti-join (the
+index side is read in bucket order, without an exchange), and the rest is appended.
+
+Rows learn their group's decision by a join on the digest. Groups with more than a
+thousandth of all rows, fewer than a thousand whatever the input, are broadcast; so no
+task gets the rows of a very large group together.
+
+An append is one Spark write, which shows all of its rows or none. If a run ends between
+two batches, the index holds the first ones whole; ingesting the same rows again adds
+what is missing and gives the same decisions, as a text's first batch stays its first.
 
 Texts are equal when they are identical after deleting space and the control
 characters 9 to 13. Defined results: a null text is empty; of equal texts the one
@@ -19,25 +28,35 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, BinaryType, DataType, StructField, StructType
 
-from tidewater.llm.common import stored
+from tidewater.llm.common import stored, with_groups
 
 #: What is deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Batches of one ingest, cut at quantiles of the texts' lengths.
+BATCHES = 4
 
 
 def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256))
 
 
+def points(text: Column) -> Column:
+    return F.char_length(F.coalesce(text, F.lit("")))
+
+
 class DigestIndex:
     """The persistent index: one row (digest, keep_id, n_points) for each text seen."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
         self.spark, self.name, self.buckets = spark, name, buckets
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def create(self, id_type: DataType) -> None:
+        """Make the table, empty, unless it is there."""
+        if not self.spark.catalog.tableExists(self.name):
+            schema = StructType([StructField("digest", BinaryType()), StructField("keep_id", id_type), StructField("n_points", LongType())])
+            self.append(self.spark.createDataFrame([], schema))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -52,28 +71,40 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, rows: DataFrame) -> None:
+        """Append what is new in one batch of rows (id, digest, n_points)."""
+        order = F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
+        best = rows.groupBy("digest").agg(F.min(order).alias("first"))
+        best = best.select("digest", F.col("first.id").alias("keep_id"), (-F.col("first.n")).alias("n_points"))
+        self.append(best.join(self.rows().hint("merge"), "digest", "left_anti"))
+
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
         """Add what is new in ``docs`` and decide on each of its rows: id, digest,
         keep_id (the row of the index that stands for the text), group_size (rows of
-        this batch with the text), kept (the row is the one that stays) and n_points."""
+        this ingest with the text), kept (the row is the one that stays) and n_points.
+        The result is stored; it does not need the index."""
+        self.create(docs.schema[id_col].dataType)
         rows = docs.select(
             F.col(id_col).alias("id"),
             digest(F.col(text_col)).alias("digest"),
-            F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
+            points(F.col(text_col)).cast("long").alias("n_points"),
         )
         rows = stored(rows, "digests")  # the texts are read and hashed once
-        order = F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-        groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-        best = groups.select(
-            "digest", F.col("first.id").alias("keep_id"), (-F.col("first.n")).alias("n_points"), "group_size"
-        )
-        fresh = best.drop("group_size")
-        if self.exists():
-            fresh = fresh.join(self.rows().hint("merge"), "digest", "left_anti")
-        self.append(fresh)
+        shares = F.array(*(F.lit(k / batches) for k in range(1, batches)))
+        cuts = rows.agg(F.percentile_approx("n_points", shares, 1_000)).first()[0] if batches > 1 else None
+        cuts = sorted(set(cuts or ()), reverse=True)  # a few numbers
+        for high, low in zip([None, *cuts], [*cuts, None], strict=True):
+            inside = F.lit(True) if high is None else F.col("n_points") <= high
+            self.add(rows.where(inside if low is None else inside & (F.col("n_points") > low)))
+
+        groups = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
         stands = self.rows().withColumnRenamed("n_points", "keep_points")
-        decided = best.select("digest", "group_size").join(stands.hint("merge"), "digest")
-        return rows.join(decided, "digest").select(
+        decided = stored(groups.join(stands.hint("merge"), "digest"), "decided")
+        told = with_groups(rows, decided, "digest", "group_size", rows.count())
+        return told.select(
             "id",
             "digest",
             "keep_id",
@@ -84,7 +115,7 @@ class DigestIndex:
 
 
 def new_index(spark: SparkSession, buckets: int = 16) -> DigestIndex:
-    """An empty index under a name of its own in the warehouse."""
+    """An index under a name of its own in the warehouse."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
 
 
@@ -93,9 +124,14 @@ def index_buckets(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """Decisions on ``docs`` alone, through an index that is dropped afterwards."""
     spark = docs.sparkSession
-    return new_index(spark, index_buckets(spark)).ingest(docs, id_col, text_col)
+    index = new_index(spark, index_buckets(spark))
+    try:
+        return index.ingest(docs, id_col, text_col, batches)
+    finally:
+        index.drop()
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
