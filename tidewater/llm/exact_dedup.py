@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, BinaryType, DataType, StructField, StructType
 
-from tidewater.llm.common import stored, with_groups
+from tidewater.llm.common import stored, with_groups, without
 
 #: What is deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -135,14 +135,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each text."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone"), F.col("n_points").alias("gone_points"))
-    rows = docs.withColumns({"__digest": digest(F.col(text_col)), "__points": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
-    # the row that stays may share its id with others of its group: their lengths differ
-    same = (rows["__digest"] == gone["gone"]) & (rows["__points"] == gone["gone_points"]) & rows[id_col].eqNullSafe(gone["gone_id"])
-    left = rows.join(gone.distinct(), same, "left_anti")
-    # rows that repeat an id and a text of one length: one of them
-    return left.dropDuplicates(["__digest"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: one of each text. Rows
+    are told apart by id, digest and length: the row that stays may share its id with
+    others of its group. Of rows that repeat all three, one stays."""
+    told = exact_dedup(docs, id_col, text_col).where("group_size > 1")
+    told = told.groupBy("id", "digest", "n_points", "kept").agg(F.count("*").alias("rows"))
+    told = stored(told.where("not kept or rows > 1"), "told")
+    keys = {"id": F.col(id_col), "digest": digest(F.col(text_col)), "n_points": points(F.col(text_col))}
+    return without(docs, keys, told.where("not kept"), told.where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
