@@ -128,3 +128,18 @@ def test_one_row_of_each_component(spark):
     assert sum((t or "").lower().startswith(other) for _, t in kept) == 1
     rest = [r for r in kept if not (r[1] or "").lower().startswith((near, other))]
     assert sorted(rest, key=str) == sorted([rows[2], rows[3], rows[4], rows[6], rows[7], rows[12]], key=str)
+
+
+def test_very_long_texts_and_a_token_of_most_sets(spark):
+    """Whole texts count, and a passage that most documents share links none of them."""
+    rnd = random.Random(6)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    near = long[:]
+    for k in range(0, 60_000, 900):
+        near[k] = "x"
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:40_000]))]
+    rows += [(10 + i, " ".join(f"u{i}x{k}" for k in range(9)) + " " + passage) for i in range(150)] + [(500 + i, passage + f" z{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)

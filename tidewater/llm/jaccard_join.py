@@ -10,7 +10,8 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
 2. Prefixes under the coarse order find the active sets. They are longer by l tokens
    (a tenth of the set and one), so two similar sets share at least the smaller l of
    the two; a set is active if so many of its prefix tokens occur in different sets.
-   The others have no link.
+   Tokens of cells that stand out count as such, and are not sent: what is frequent is
+   no bucket. Sets that are not active have no link.
 3. Among active sets tokens are counted exactly. Tokens of one set alone come first
    and join with nothing; the others follow in two orders: (count, hash) and
    (count, another hash).
@@ -25,8 +26,11 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
    The sets of a component are dealt into blocks and every two blocks are compared by
    counting common tokens, each pair of sets once; no pair is left out.
 
-Documents with equal sets are one node. No list of partners is cut, no bucket is
-gathered into one row or task, and only tables whose size is fixed by a parameter
+Documents with equal sets are one node. No list of partners is cut and no bucket is
+gathered into one row or task: the few tokens, roots and nodes with a large share of all
+rows meet their group's row by broadcast, and pairs meet their sets in sort-merge joins
+whose skewed parts Spark splits. In a bucket of many components the pairs that step 5
+looks at are those whose lengths, places and second order leave room for a link. Only tables whose size is fixed by a parameter
 (cells, a bitmap of active sets) reach the driver.
 
 Defined results: a null text is empty; a document without words has 0 shingles and
@@ -46,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, chunks, lowered, mix, stored, text_arrays, texts, word_hashes
+from tidewater.llm.common import SPACE, chunks, lowered, mix, stored, text_arrays, texts, with_groups, without, word_hashes
 from tidewater.llm.components import components
 
 #: Words of a shingle and least similarity in percent.
@@ -146,7 +150,8 @@ def frequency_classes(summary: DataFrame) -> np.ndarray:
 
 
 def coarse_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, sid) of the prefix tokens of every set under the coarse order."""
+    """(token, sid, least) of the prefix tokens of every set under the coarse order that
+    are in no frequent cell, and how many of them other sets must have."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +163,14 @@ def coarse_prefixes(docs: DataFrame, classes: np.ndarray, words: int, percent: i
                     continue
                 if len(done) < SEEN:
                     done.add(sid)
-                keep = coarse_length(len(s), percent)
                 own = table[bits.of(s)]
-                tokens.append(s[np.argsort(own, kind="stable")[:keep]] if own.any() else s[:keep])
+                spots = np.argsort(own, kind="stable")[: coarse_length(len(s), percent)]
+                rare = spots[own[spots] == 0]
+                need = least_common(len(s), percent) - len(spots) + len(rare)
+                # a set that needs no further token is active: one row tells
+                tokens.append(s[rare] if need > 0 else np.array([sid & (2**64 - 1)], np.uint64))
                 sids.append(sid)
-                least.append(least_common(len(s), percent))
+                least.append(max(0, need))
                 if len(sids) == 512:
                     yield _posts(tokens, sids, least)
                     tokens, sids, least = [], [], []
@@ -219,10 +227,9 @@ def both_orders(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, n, own, first, second) of active sets: own tokens, i.e. those that no
     other active set has, and the shared tokens of the prefix in either order."""
     rows = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(counts, "token")
-    first, second = F.struct("df", "token"), F.struct("df", F.xxhash64("token").alias("h"), "token")
-    grouped = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list(second)).alias("x"))
+    counts = stored(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
+    shared = with_groups(rows, counts, "token", "df", sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    grouped = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     own = F.col("n") - F.size("x")
     length = F.greatest(F.lit(0), keep - own).cast("int")
@@ -233,8 +240,8 @@ def both_orders(sets: DataFrame, percent: int) -> DataFrame:
             "sid",
             "n",
             "own",
-            F.expr("slice(transform(array_sort(transform(x, e -> struct(e.df, e.token))), e -> e.token), 1, length)").alias("first"),
-            F.expr("transform(slice(x, 1, length), e -> e.token)").alias("second"),
+            F.expr("transform(slice(x, 1, length), e -> e.token)").alias("first"),
+            F.expr("slice(transform(array_sort(transform(x, e -> struct(e.df, xxhash64(e.token), e.token))), e -> e.token), 1, length)").alias("second"),
         )
     )
 
@@ -244,12 +251,11 @@ def needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def may_link(x: str, y: str, percent: int) -> Column:
-    """Whether two sets may have enough common tokens when this token, at place pos of
-    either, is the first that they share."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    return room >= needed(n, m, percent)
+def may_link(n: str, pos: str, m: str, at: str, percent: int) -> Column:
+    """Whether two sets of n and m tokens may have enough in common when the first one
+    that they share is at place pos of one and at place at of the other."""
+    room = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+    return room >= needed(F.col(n), F.col(m), percent)
 
 
 def linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,24 +280,26 @@ def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int
     posts = orders.select("sid", "n", "own", F.posexplode("first").alias("i", "token")).select("token", "sid", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
     posts = stored(posts, "posts")
 
+    total = posts.count()
     pivot = posts.groupBy("token").agg(F.min(F.struct("own", "sid", "n", "pos")).alias("p"), F.count("*").alias("rows")).where("rows > 1")
-    pivot = pivot.select("token", "p.sid", "p.n", "p.pos")
-    near = posts.alias("x").join(pivot.alias("y"), "token").where((F.col("x.sid") != F.col("y.sid")) & may_link("x", "y", percent))
-    tried = stored(near.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), "pivot-pairs")
+    pivot = stored(pivot.select("token", F.col("p.sid").alias("y_sid"), F.col("p.n").alias("y_n"), F.col("p.pos").alias("y_pos"), "rows"), "pivots")
+    near = with_groups(posts, pivot, "token", "rows", total).where((F.col("sid") != F.col("y_sid")) & may_link("n", "pos", "y_n", "y_pos", percent))
+    tried = stored(near.select(F.least("sid", "y_sid").alias("a"), F.greatest("sid", "y_sid").alias("b")).distinct(), "pivot-pairs")
     edges = stored(linked(tried, orders, sets, percent), "pivot-links")
     roots = stored(components(edges), "roots")
 
     placed = posts.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     sizes = placed.groupBy("token", "root").agg(F.count("*").alias("rows"))
-    split = sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = stored(placed.join(split.select("token", "main"), "token"), "mixed")
-    rest = mixed.where("root <> main")
-    cross = rest.alias("x").join(mixed.alias("y"), "token").where(
-        (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
-        & may_link("x", "y", percent)
+    split = sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+    split = stored(split.select("token", "main", "rows"), "split")
+    mixed = stored(with_groups(placed, split, "token", "rows", total).drop("rows"), "mixed")
+    rest = mixed.where("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "root")])
+    cross = rest.join(mixed, "token").where(
+        (F.col("x_root") != F.col("root"))
+        & ((F.col("root") == F.col("main")) | (F.col("x_sid") < F.col("sid")))
+        & may_link("x_n", "x_pos", "n", "pos", percent)
     )
-    cross = cross.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    cross = cross.select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b")).distinct()
     more = stored(linked(cross.join(tried, ["a", "b"], "left_anti"), orders, sets, percent), "cross-links")
     return components(roots.toDF("a", "b").union(more)), sets
 
@@ -299,7 +307,7 @@ def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int
 def active_sets(coarse: DataFrame) -> DataFrame:
     """The sets with enough coarse prefix tokens that different sets have as well."""
     by = Window.partitionBy("token").orderBy("sid")
-    other = (F.lag("sid").over(by) != F.col("sid")) | (F.lead("sid").over(by) != F.col("sid"))
+    other = (F.lag("sid").over(by) != F.col("sid")) | (F.lead("sid").over(by) != F.col("sid")) | (F.col("least") == 0)
     # several tasks may have sent a set: it is counted once for a token
     tokens = coarse.withColumn("other", other).where("other").groupBy("token", "sid").agg(F.first("least").alias("least"))
     return tokens.groupBy("sid").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("sid")
@@ -348,8 +356,8 @@ def _named(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     """id, n_shingles, component_id and sid of every row (id, n, sid)."""
     full = rows.where("n > 0").join(roots.toDF("sid", "root"), "sid", "left").select("id", "n", "sid", F.coalesce("root", "sid").alias("root"))
     full = stored(full, "nodes")
-    names = full.groupBy("root").agg(F.min("id").alias("component_id"))
-    full = full.join(names, "root").select("id", "n", "component_id", "sid")
+    names = stored(full.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")), "names")
+    full = with_groups(full, names, "root", "rows", full.count()).select("id", "n", "component_id", "sid")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "sid")
     return full.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "sid")
 
@@ -389,15 +397,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     rows = rows.join(roots.toDF("sid", "root"), "sid", "left").select("id", "h", "rows", F.coalesce("root", "sid").alias("root"))
     rows = stored(rows, "rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    marked = rows.join(best, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    best = stored(rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("members")), "best")
+    marked = with_groups(rows, best, "root", "members", rows.count()).withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
     # what leaves, and what stays but is repeated
-    marked = stored(marked.where("not stays or rows > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "stays"), "marked")
-    docs_h = docs.withColumn("__text", F.xxhash64(text_col))
-    same = (docs_h["__text"] == marked["__h"]) & docs_h[id_col].eqNullSafe(marked["__id"])
-    once = docs_h.join(marked, same, "left_anti")
-    again = docs_h.join(marked.where("stays"), same, "left_semi").dropDuplicates([id_col, "__text"])
-    return once.union(again).select(*docs.columns)
+    marked = stored(marked.where("not stays or rows > 1").select("id", "h", "stays"), "marked")
+    keys = {"id": F.col(id_col), "h": F.xxhash64(text_col)}
+    return without(docs, keys, marked.where("not stays"), marked.where("stays"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
