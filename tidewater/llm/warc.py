@@ -1,10 +1,13 @@
 """WARC archives and their capture index (operator 10).
 
-Writing: a record for every page, in files that Spark writes and commits (gzip).
-Of records with equal payloads of at least ``least_bytes`` bytes the one with the
-largest id is a response; the others are revisits that refer to it and carry no
-payload. Reading: the files are read back whole, each of bounded size, and cut by
-Content-Length.
+Writing: a record for every page, each a gzip member of its own, in files of about
+``ARCHIVE_BYTES`` that Spark's text writer writes and commits (and names part-*.txt; what
+is in them are .warc.gz archives). Of records with equal payloads of at least
+``least_bytes`` bytes the one with the largest id is a response; the others are revisits
+that refer to it and carry no payload. Payloads pass no exchange unless more of them
+repeat than can be broadcast. Reading: an archive's members are decompressed one after
+the other and cut by Content-Length, so a task holds an archive and one record, of
+ARCHIVE_BYTES or the largest record's size.
 
 Index: every archive gives a run of captures sorted by URL key and time. Ranges of
 (URL key, time, id) go to one task each, in which the sorted pieces of the runs
@@ -31,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import new_path, stored
+from tidewater.llm.common import new_path, small, stored, texts, with_groups
 
 #: Payloads from this size on are written once.
 LEAST_BYTES = 0
-#: Records of one archive file at most, and captures of one range of the index.
-ARCHIVE_ROWS, RANGE_ROWS = 2_000, 50_000
+#: Compressed bytes from which on an archive is closed, and captures of one range of the index.
+ARCHIVE_BYTES, RANGE_ROWS = 32 << 20, 50_000
 #: Seconds since 1970 of the capture of page 0; page n is captured n seconds later.
 FIRST_CAPTURE = 1_577_836_800
 END = "\r\n\r\n"
@@ -53,8 +56,15 @@ def url_key(url):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
+def utc_date(seconds):
+    """Seconds since 1970 as a date of WARC, whatever the session's time zone."""
+    two = lambda unit, of: F.lpad((F.floor(seconds / unit) % of).cast("string"), 2, "0")
+    day = F.date_format(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd")
+    return F.concat(day, F.lit("T"), two(3_600, 24), F.lit(":"), two(60, 60), F.lit(":"), two(1, 60), F.lit("Z"))
+
+
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One row (value) for each page: its WARC record, without the closing blank lines."""
+    """One row (value) for each page: its WARC record."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -63,14 +73,23 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         F.unhex(F.sha1(html)).alias("sha1"),
         F.octet_length(html).cast("long").alias("bytes"),
     )
-    last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "sha1")
+    keys = stored(rows.select("page_id", "sha1"), "payloads")
+    groups = keys.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
+    groups = stored(groups, "copies")
+    few = small(groups)
+    if few is None:
+        rows = rows.withColumns({"last": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")})
+    elif few is not groups:
+        rows = rows.join(few, "sha1", "left")
+    else:
+        rows = with_groups(rows, groups, "sha1", "copies", keys.count(), "left")
+    rows = rows.withColumn("last", F.when(F.col("copies").isNull(), F.col("page_id")).otherwise(F.col("last")))
     again = (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), utc_date(F.coalesce(F.col("page_id"), F.lit(0)) + FIRST_CAPTURE)),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Capture-Key: "), F.regexp_replace(url_key(F.col("url")), r"\s", "%20")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
@@ -81,7 +100,7 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.when(again, "0").otherwise(F.col("bytes").cast("string"))),
     ]
     head = F.concat_ws("\r\n", *lines)
-    return rows.select(F.concat(head, F.lit(END), F.when(again, "").otherwise(F.col("html"))).alias("value"))
+    return rows.select(F.concat(head, F.lit(END), F.when(again, "").otherwise(F.col("html")), F.lit(END)).alias("value"))
 
 
 def base32(digest):
@@ -96,17 +115,61 @@ def base32(digest):
     return F.concat(*out)
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_rows: int = ARCHIVE_ROWS) -> None:
-    """Write the archives: gzip files of at most ``archive_rows`` records under ``path``."""
+#: A gzip member of no bytes.
+NOTHING = zlib.compress(b"", 9, 31)
+
+
+def member(record: bytes) -> bytes:
+    """``record`` as a gzip member whose last byte is 0: it is the high byte of the length,
+    and a record of 16 MB or more is followed by a member of no bytes."""
+    data = zlib.compress(record, 6, 31)
+    return data if data[-1] == 0 else data + NOTHING
+
+
+def archives(values: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(value) of archives: the members of records, closed when they reach ``archive_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
+        for b in batches:
+            for value in b.column(0):
+                block.append(member(value.as_buffer()))
+                size += len(block[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], ["value"])
+                    block, size = [], 0
+        if block:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(block)], pa.binary())], ["value"])
+
+    return texts(values).select("value").mapInArrow(run, "value binary")
+
+
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the archives under ``path``: each is a row, whose last byte is the line's end."""
+    blocks = archives(records(pages, least_bytes), archive_bytes)
+    last = F.octet_length("value") - 1
     (
-        records(pages, least_bytes)
-        .write.option("lineSep", END)
-        .option("maxRecordsPerFile", archive_rows)
-        .option("compression", "gzip")
+        blocks.select(F.substring(F.col("value"), F.lit(1), last).cast("string").alias("value"))
+        .write.option("lineSep", "\0")
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
 
+def members(data: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The uncompressed gzip members of ``data``, one at a time."""
+    at = 0
+    while at < len(data):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= len(data):
+                raise ValueError("archive ends early")
+            parts.append(reader.decompress(data[at : at + step]))
+            at += min(step, len(data) - at)
+        at -= len(reader.unused_data)
+        yield b"".join(parts)
+
+
 HEAD = re.compile(rb"([A-Za-z-]+): ?([^\r]*)\r\n")
 
 
@@ -139,14 +202,14 @@ def _seconds(date: str) -> int:
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Read the archives under ``path``; a sorted run of captures from each."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 archive = name.as_py().rsplit("/", 1)[-1]
                 rows = []
-                for head, payload in parse(zlib.decompress(content.as_buffer(), 31)):
+                for head, payload in (r for part in members(memoryview(content.as_buffer())) for r in parse(part)):
                     kind = head["WARC-Type"]
                     told = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response":
@@ -229,11 +292,11 @@ def history(runs: DataFrame, rows: int, range_rows: int = RANGE_ROWS) -> DataFra
     return dealt.mapInArrow(run, CAPTURE)
 
 
-def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives of ``pages``, read them back and give the capture history."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write(pages, path, least_bytes)
+    write(pages, path, least_bytes, archive_bytes)
     runs = stored(captures(spark, path), "capture-runs")
     return history(runs, runs.count())
 
