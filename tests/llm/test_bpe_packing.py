@@ -116,3 +116,24 @@ def test_packed_rows(spark):
             at += n
         assert at <= 2048
     assert len(fill) == best_fit_one_by_one(lengths, 2048)[0]
+
+
+def test_packing_with_clashing_columns(spark):
+    """Columns named as those of the result pass by; ids of any type, nulls and repeats are packed."""
+    texts = ["one two", None, "", "word " * 5_000, "one two", "one two"]
+    rows = [(str(i) if i else None, t, 1, 2, 3, 4, 5, 6, 7) for i, t in enumerate(texts)] + [("4", "one two", 1, 2, 3, 4, 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, piece int, start int, length int, sequence_id int, offset int, rank int, part int")
+    got = packing.pack_documents(docs).collect()
+    pieces = [(r.doc_id, r.piece) for r in got]
+    assert len(pieces) == 6 + len([p for p in pieces if p[0] == "3"]) and {p[0] for p in pieces} == {None, "1", "2", "3", "4", "5"}
+    assert [r.length for r in got if r.doc_id in ("1", "2")] == [1, 1]
+    spots = {}
+    for r in got:
+        spots.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in spots.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= packing.SIZE
+    assert packing.pack_documents(docs.limit(0)).count() == 0
