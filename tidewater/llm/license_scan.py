@@ -2,20 +2,26 @@
 
 Words are lower-cased runs of letters, digits and other non-ASCII letters; a text
 is searched as its words joined by single spaces. A notice may differ from its
-pattern by up to k edits, so of k + 1 pieces of the pattern one at least occurs
-unchanged (pigeonhole): the pieces of all notices are found in one exact pass, and
+pattern by up to k edits (of letters), so of k + 1 pieces of the pattern one at least
+occurs unchanged (pigeonhole): the pieces of all notices are found in one exact pass, and
 only windows around them are given to the regex library, whose bounded-error
 matching verifies the edits and gives the span. The base phrases are notices with
-no edits: their only piece is the phrase itself.
+no edits, and so are SPDX identifiers: their only piece is the phrase itself.
+
+Notices are data: ``scan`` takes any table of them. The default ones are those that
+licenses ask to be put into a file's head or that open their texts, with one edit for
+every fifteen letters and two at least, and, without edits, those that a letter tells
+apart: versions, and "SPDX-License-Identifier:" with each of ``SPDX``.
 
 Defined results: a null text is empty: no words, no places; repeated rows are
 scanned each for itself; overlapping matches of one notice count once; an empty
-table gives an empty result; texts are scanned whole, whatever their length.
-Columns besides id and text are not read.
+table gives an empty result; texts are scanned whole, whatever their length, in time
+linear in it and in what is found. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,20 +34,72 @@ from tidewater.llm.common import LOWER, NOT_ALNUM, chunks, text_arrays, texts
 
 #: Phrases that are found exactly, and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices that are found with at most so many edits (fixed values).
-NOTICES = {
-    "licensed under the apache license version 2 0": ("apache-2.0", 4),
-    "permission is hereby granted free of charge to any person": ("mit", 5),
-    "licensed under the mit license": ("mit", 2),
-    "redistribution and use in source and binary forms": ("bsd", 4),
-    "gnu general public license": ("gpl-notice", 2),
-    "gnu lesser general public license": ("lgpl", 2),
-    "mozilla public license": ("mpl", 2),
-    "licensed under cc by": ("cc-notice", 2),
-    "creative commons attribution": ("cc-notice", 2),
-    "released into the public domain": ("public-domain", 3),
-    "all rights reserved": ("reserved-notice", 2),
+#: Words of notices, by label (fixed values).
+WORDINGS = {
+    "apache-2.0": ["licensed under the apache license version 2 0", "apache license version 2 0 january 2004"],
+    "mit": ["permission is hereby granted free of charge to any person", "licensed under the mit license", "released under the mit license"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose", "licensed under the isc license"],
+    "bsd": ["redistribution and use in source and binary forms", "licensed under the bsd license", "use of this source code is governed by a bsd style license"],
+    "gpl-notice": ["gnu general public license"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license"],
+    "agpl": ["gnu affero general public license"],
+    "gfdl": ["gnu free documentation license"],
+    "mpl": ["mozilla public license", "subject to the terms of the mozilla public license v 2 0"],
+    "epl": ["eclipse public license"],
+    "eupl": ["european union public licence"],
+    "cddl": ["common development and distribution license"],
+    "artistic": ["the artistic license"],
+    "boost": ["boost software license version 1 0"],
+    "zlib": ["this software is provided as is without any express or implied warranty"],
+    "ofl": ["sil open font license"],
+    "odbl": ["open database license", "open data commons"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "wtfpl": ["do what the fuck you want to public license"],
+    "ms-pl": ["microsoft public license"],
+    "python": ["python software foundation license"],
+    "ncsa": ["university of illinois ncsa open source license"],
+    "cc-notice": ["licensed under cc by", "creative commons attribution", "creative commons license", "licensed under a creative commons"],
+    "cc-by-sa": ["creative commons attribution sharealike"],
+    "cc-by-nc": ["creative commons attribution noncommercial"],
+    "cc-by-nd": ["creative commons attribution noderivatives", "creative commons attribution noderivs"],
+    "cc0": ["creative commons zero", "cc0 1 0 universal"],
+    "public-domain": ["released into the public domain", "dedicated to the public domain", "placed in the public domain"],
+    "reserved-notice": ["all rights reserved"],
+    "proprietary": ["proprietary and confidential", "unauthorized copying of this file"],
+    "no-reproduction": ["may not be reproduced", "no part of this publication may be reproduced"],
+}
+#: Words of notices of which a letter more or less is another notice (fixed values).
+EXACT = {
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "gnu general public license v2": "gpl-2.0",
+    "gnu general public license v3": "gpl-3.0",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3.0",
+    "licensed under the gpl": "gpl-notice",
 }
+#: Identifiers of the SPDX license list (fixed values).
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-3-Clause "
+    "BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 "
+    "CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC "
+    "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA "
+    "ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+#: A notice of n letters is found with at most n // LETTERS_PER_EDIT edits, or LEAST_EDITS.
+LETTERS_PER_EDIT, LEAST_EDITS = 15, 2
+
+
+def default_notices() -> dict[str, tuple[str, int]]:
+    """Words of each notice, its label and how many edits it may have."""
+    out = {words: (label, max(LEAST_EDITS, len(words) // LETTERS_PER_EDIT)) for label, own in WORDINGS.items() for words in own}
+    out |= {words: (label, 0) for words, label in EXACT.items()}
+    for name in SPDX:
+        out["spdx license identifier " + " ".join(re.findall("[a-z0-9]+", name.lower()))] = (f"spdx:{name.lower()}", 0)
+    return out
+
+
+NOTICES = default_notices()
 
 
 class Scanner:
@@ -74,13 +132,9 @@ class Scanner:
                     continue
                 a = max(0, start - inside - k)
                 b = min(len(text), start - inside + len(p) + k)
-                own = windows.setdefault(i, [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
+                windows.setdefault(i, []).append((a, b))
         for i, own in windows.items():
-            for a, b in own:
+            for a, b in joined(own):
                 # a letter more on either side, to see the words' ends
                 for m in self.regex[i].finditer(text, max(0, a - 1), min(len(text), b + 1)):
                     if (not m.start() or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
@@ -90,11 +144,13 @@ class Scanner:
         """What is found in normalised ``text``; places are numbers of words from 0."""
         places, base, labels, best, found = 0, set(), set(), 0.0, []
         first = last = None
-        for i, a, b, edits in self.spans(text):
+        seen = list(self.spans(text))
+        # the number of a word is that of the spaces before it
+        starts, ends = (np.searchsorted(spaces(text), np.array([x[k] for x in seen], np.int64)).tolist() if seen else [] for k in (1, 2))
+        for (i, _, _, edits), word, end in zip(seen, starts, ends, strict=True):
             p, label, _, exact = self.patterns[i]
-            word = text.count(" ", 0, a)
             labels.add(label)
-            found.append((label, word, word + 1 + text.count(" ", a, b), edits))
+            found.append((label, word, end + 1, edits))
             best = max(best, 1 - edits / len(p))
             if exact:
                 places += 1
@@ -104,9 +160,25 @@ class Scanner:
         return {"n_base": places, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": best, "spans": sorted(set(found))}
 
 
+def joined(windows: list[tuple[int, int]]) -> list[list[int]]:
+    """Windows that meet are one."""
+    out: list[list[int]] = []
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def spaces(text: str) -> np.ndarray:
+    """The places of all spaces."""
+    letters = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.flatnonzero(letters == 32)
+
+
 def normalised(column: pa.Array) -> Iterator[tuple[int, str]]:
-    """For each value, the number of its words and its words joined by spaces, one
-    letter for each byte of UTF-8 (so that places are bytes)."""
+    """For each value, the number of its words and its words joined by spaces."""
     data, offsets = text_arrays(column)
     for lo, hi in chunks(offsets):
         part = LOWER[data[offsets[lo] : offsets[hi]]]
@@ -122,10 +194,9 @@ def normalised(column: pa.Array) -> Iterator[tuple[int, str]]:
         # a space stays where a word precedes it
         keep = word | (before & ~word)
         kept = np.concatenate(([0], np.cumsum(keep)))[at]
-        text = np.where(word, part, np.uint8(32))[keep].tobytes().decode("latin-1")
+        text = np.where(word, part, np.uint8(32))[keep].tobytes()
         for k in range(hi - lo):
-            own = text[kept[k] : kept[k + 1]]
-            yield int(counts[k]), own[:-1] if own.endswith(" ") else own
+            yield int(counts[k]), text[kept[k] : kept[k + 1]].removesuffix(b" ").decode(errors="replace")
 
 
 SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())]))
