@@ -1,7 +1,12 @@
+import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidewater.llm import toxicity
 
@@ -68,3 +73,85 @@ def test_no_labels_and_empty(spark):
     model = toxicity.train(frame, marks)
     assert {r.predicted for r in toxicity.score(frame, model).collect()} == {0}
     assert toxicity.score(frame.limit(0), model).count() == 0
+
+
+def test_segments_take_linear_time():
+    scores = np.where(np.arange(160_000) % 2, -1.01, 1.0)
+    for s in (scores, scores[::-1], np.cumsum(scores) * 1e-9 + scores, np.where(np.arange(160_000) % 2, -0.99, 1.0)):
+        began = time.perf_counter()
+        found = toxicity.segments(s)
+        assert time.perf_counter() - began < 1
+        assert all(abs(s[a:b].sum() - x) < 1e-6 for a, b, x in found[:50])
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def test_scores_and_evidence_by_hand(spark):
+    """Word scores, lambda, evidence and passages against their definitions, word by word."""
+    docs, labels = corpus(600)
+    frame = spark.createDataFrame([(t, int(y)) for (_, t, _), (_, y) in zip(docs, labels)], "text string, label int")
+    model = toxicity.word_scores(toxicity.word_counts(frame))
+    own = [Counter(), Counter()]
+    for (_, t, _), (_, y) in zip(docs, labels):
+        own[y].update(set(words_of(t)))
+    vocab = sorted(set(own[0]) | set(own[1]))
+    totals = [sum(c.values()) + toxicity.PRIOR * len(vocab) for c in own]
+    want = {}
+    for w in vocab:
+        n = [c[w] + toxicity.PRIOR for c in own]
+        odds = math.log(n[1] / (totals[1] - n[1])) - math.log(n[0] / (totals[0] - n[0]))
+        size = abs(odds) - 2 * math.sqrt(1 / n[0] + 1 / n[1])
+        if size > 0:
+            want[w] = math.copysign(size, odds) - toxicity.DRIFT
+    code = {w: next(toxicity.documents(pa.array([w])))[0] for w in vocab}
+    got = dict(zip(model.words.tolist(), model.scores.tolist()))
+    assert set(got) == {int(code[w]) for w in want} and {"scoundrel", "villain", "rotter"} <= set(want)
+    assert all(abs(got[int(code[w])] - s) < 1e-9 for w, s in want.items())
+    share = {w: (own[0][w] + toxicity.PRIOR) / totals[0] for w in want}
+    moment = sum(share[w] * math.exp(model.rate * want[w]) for w in want) + max(0, 1 - sum(share.values())) * math.exp(-model.rate * toxicity.DRIFT)
+    assert abs(moment - 1) < 1e-6
+    model.log_k = -1.3
+    for _, text, _ in docs[:60]:
+        scores = [want.get(w, -toxicity.DRIFT) for w in words_of(text)]
+        runs = sorted(((sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), key=lambda r: (-r[0], r[2] - r[1]))
+        taken = []
+        if runs and runs[0][0] > 0:
+            spans = [(0, len(scores))]
+            while spans:  # the best run, then those on either side of it
+                lo, hi = spans.pop()
+                inside = [r for r in runs if lo <= r[1] and r[2] <= hi and r[0] > 1e-12]
+                if inside:
+                    taken.append(inside[0])
+                    spans += [(lo, inside[0][1]), (inside[0][2], hi)]
+        log_e = sorted(-1.3 + math.log(len(scores)) - model.rate * s for s, _, _ in taken)
+        passages = [e for e in log_e if e <= math.log(toxicity.SIGNIFICANT)]
+        best = log_e[0] if log_e else -1.3 + math.log(len(scores))
+        x, _, found = toxicity.evidence(model, next(toxicity.documents(pa.array([text]))))
+        assert abs(x - max(toxicity.LOW, -sum(passages) if passages else -best)) < 1e-6
+        assert len(found) == len(passages)
+
+
+def test_curve_is_the_likeliest():
+    rnd = np.random.default_rng(2)
+    x = np.linspace(-10, 40, 60)
+    n = rnd.integers(1, 50, 60).astype(float)
+    k = rnd.binomial(n.astype(int), 1 / (1 + np.exp(2 - 0.4 * x))).astype(float)
+    bias, slope = toxicity._curve(x, n, k)
+
+    def loss(a, b):
+        z = a + b * x
+        return (n * np.logaddexp(0, z) - k * z).sum() + (0.02 * (a + 3) ** 2 + 0.5 * (b - 0.5) ** 2) / 2
+
+    least = loss(bias, slope)
+    assert all(loss(bias + da, slope + db) > least for da in (-0.05, 0, 0.05) for db in (-0.01, 0, 0.01) if da or db)
+
+
+def test_labels_of_one_class(spark):
+    docs, labels = corpus(40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score double")
+    for only in (0, 1):
+        marks = spark.createDataFrame([(i, only) for i, _ in labels], "doc_id long, toxic int")
+        rows = toxicity.score(frame, toxicity.train(frame, marks)).collect()
+        assert len(rows) == 40 and {r.predicted for r in rows} == {0} and not any(r.passages for r in rows)
