@@ -37,3 +37,36 @@ def test_parts_are_balanced():
     x = rnd.normal(size=(1024, 8)) + 6 * rnd.integers(0, 4, (1024, 1))
     label = ann.balanced_parts(ann.neighbours(x, 10), 8)
     assert (np.bincount(label) == 128).all()
+
+
+def test_repeated_ids_ask_once(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in rnd.normal(size=6)]) for i in range(300)]
+    again = [rows[0], (0, [9.0] * 6), (7, rows[8][1])]
+    frame = spark.createDataFrame([(i, v, 5, 6) for i, v in rows + again], "vec_id long, embedding array<double>, v int, part int")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(frame, frame.where("vec_id = 0 or vec_id = 8"), parts=1).collect())
+    first = min(v for i, v in rows + again if i == 0)
+    want = [x for x in brute(rows + again, [(0, first), rows[8]], 10)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    assert [g[2] for g in got if g[0] == 8][0] == 7
+
+
+def test_parts_grow_with_the_table():
+    assert [ann.part_count(n) for n in (0, 1_000, 50_000, 10**6, 10**8, 10**9, 10**12)] == [8, 8, 64, 256, 2048, 8192, 8192]
+    assert ann.sample_rows(ann.MOST_PARTS) == 262_144
+
+
+def test_recall_of_rows_that_were_not_fitted():
+    """Routing reaches the asked recall on vectors that the router has not seen, at two sizes."""
+    for n, parts in ((3_000, 16), (9_000, 64)):
+        rnd = np.random.default_rng(n)
+        centres = rnd.normal(size=(40, 24))
+        x = centres[rnd.integers(0, 40, n + 300)] + 0.5 * rnd.normal(size=(n + 300, 24))
+        router = ann.fit(x[:n], parts)
+        part = np.argmax(router.logits(x), axis=1)
+        order = np.argsort(-router.logits(x[n:]), axis=1)[:, : router.probes]
+        hits = 0
+        for v, probed in zip(x[n:], order):
+            near = np.argsort(((x[:n] - v) ** 2).sum(1))[:10]
+            hits += np.isin(part[near], probed).sum()
+        assert router.probes < parts and hits >= 0.95 * 3_000

@@ -63,3 +63,27 @@ def test_stages(spark, tmp_path):
             assert offset == at
             at += n
         assert at <= 2048
+
+
+def test_odd_tables(spark, tmp_path):
+    """An empty table, very long texts, null ids and columns with the names of results."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, keep boolean, sid long, h long, id long, digest string, piece int, length long"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    long = " ".join(f"w{i}" for i in range(40_000))
+    more = ("en", "s", 1, 0.5, 1, True, 3, 4, 5, "d", 6, 7)
+    rows = [(1, long, *more), (2, long + " tail", *more), (3, long.replace(" ", "\n"), *more), (None, "a b c", *more), (None, "other text", *more), (7, None, *more), (7, "", *more)]
+    for name, own in (("empty", []), ("odd", rows)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        frame = spark.read.parquet(f"{at}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, frame, at)
+            assert out.columns == frame.columns
+            out.write.parquet(f"{at}/{k}")
+            frame = spark.read.parquet(f"{at}/{k}")
+        left = sorted((str(r.doc_id), len(r.text or "")) for r in frame.collect())
+        # of each text and of each group of near copies one row; a null and an empty text are equal
+        assert left == ([] if not own else sorted([("1", len(long)), ("None", 5), ("None", 10), ("7", 0)]))
+        packed = corpus_pipeline.run(spark, at)
+        assert (packed.count() > 0) == bool(own) and {"piece", "start", "length", "sequence_id", "offset"} <= set(packed.columns)

@@ -5,8 +5,12 @@ graph is cut into equal parts by repeated bisection (the graph's slow eigenvecto
 gives an order, the median cuts it, swaps of pairs that gain edges refine the cut),
 then a small network learns to tell a vector's part from the vector, with the parts of
 its neighbours as soft labels. Indexing: the network assigns every vector to a part.
-Searching: the network routes a query to its most probable parts, as many as the
-sample needs for a recall of ``RECALL``; these are searched exactly.
+Searching: the network routes a query to its most probable parts, as many as sampled
+vectors that were not fitted need for a recall of ``RECALL``; these are searched exactly.
+
+The number of parts grows with the square root of the table, and the sample with it, so
+the work for a query does too, up to ``MOST_PARTS`` (a thousand million vectors); beyond
+that parts grow with the table. A part's size changes no result but the recall's margin.
 
 Spark joins queries and parts in blocks: a part is cut into blocks of about
 ``BLOCK_ROWS`` vectors and its queries into blocks of about ``QUERY_ROWS``, whatever the
@@ -17,7 +21,8 @@ vectors.
 Defined results: vectors that are null, zero, of another length than most of the sample
 or that hold null or non-finite components take no part, nor do rows without an id;
 ties go to the smaller id; rows that repeat an id are candidates each, but none of them
-for a query of that id; with fewer than k candidates all are returned; an empty table
+for a query of that id, and a repeated id asks once, with the smallest of its vectors;
+with fewer than k candidates all are returned; an empty table
 gives an empty result. Columns besides id and vector are not read.
 """
 
@@ -28,23 +33,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import stored
 
-#: Neighbours of the graph, recall that routing has to reach on the sample.
-GRAPH_K, RECALL = 10, 0.97
-BLOCK_ROWS, QUERY_ROWS = 20_000, 2_000
-#: Vectors for each part that one wants, and limits of the number of parts.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 5_000, 8, 256
+#: Neighbours of the graph, recall that routing has to reach on sampled vectors that were
+#: not fitted, and how many these are at most.
+GRAPH_K, RECALL, HELD = 10, 0.98, 1_000
+BLOCK_ROWS, QUERY_ROWS = 20_000, 20_000
+#: A table of n vectors has about sqrt(n) / ROOT parts, within these limits.
+ROOT, LEAST_PARTS, MOST_PARTS = 4, 8, 8_192
 HIDDEN, EPOCHS, BATCH = 64, 30, 256
 
 
+def part_count(rows: int) -> int:
+    """A power of two."""
+    parts = 2 ** round(math.log2(max(1.0, math.sqrt(rows) / ROOT)))
+    return min(MOST_PARTS, max(LEAST_PARTS, parts))
+
+
 def sample_rows(parts: int) -> int:
-    return min(16_384, max(4_096, 64 * parts))
+    """32 vectors for each part, 4,096 at least (262,144 at most, by MOST_PARTS)."""
+    return max(4_096, 32 * parts)
 
 
 @dataclass
@@ -65,8 +77,9 @@ def neighbours(x: np.ndarray, k: int, queries: np.ndarray | None = None) -> np.n
     """The k nearest other rows of x for each of the rows ``queries``."""
     rows = np.arange(len(x)) if queries is None else queries
     norm, out = (x * x).sum(1), []
-    for lo in range(0, len(rows), 512):
-        own = rows[lo : lo + 512]
+    step = max(1, (1 << 22) // max(1, len(x)))
+    for lo in range(0, len(rows), step):
+        own = rows[lo : lo + step]
         d = norm - 2 * x[own] @ x.T
         d[np.arange(len(own)), own] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(x) else np.argsort(d, axis=1)[:, : len(x) - 1])
@@ -122,44 +135,50 @@ def _bisect(a: np.ndarray, b: np.ndarray, n: int, rnd: np.random.Generator) -> n
 
 
 def fit(x: np.ndarray, parts: int, recall: float = RECALL, seed: int = 1) -> Router:
-    """Cut the sample's graph, learn the parts, and find how many to probe."""
+    """Cut the sample's graph, learn the parts, and find how many to probe: some rows of
+    the sample are held out, and routed to the parts of their neighbours among the rest."""
     x = x.astype(np.float64)
     mean, scale = x.mean(0), 1 / (x.std() + 1e-12)
     rnd = np.random.default_rng(seed)
-    while parts > 1 and len(x) < 16 * parts:
+    order = rnd.permutation(len(x))
+    held, own = order[: min(HELD, len(x) // 8)], order[min(HELD, len(x) // 8) :]
+    while parts > 1 and len(own) < 16 * parts:
         parts //= 2
-    if parts < 2:
+    if parts < 2 or not len(held):
         zero = [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]
         return Router(mean, scale, zero, 1)
-    near = neighbours(x, min(GRAPH_K, len(x) - 1))
+    y = x[own]
+    near = neighbours(y, min(GRAPH_K, len(y) - 1))
     label = balanced_parts(near, parts, seed)
-    soft = np.zeros((len(x), parts))
-    np.add.at(soft, (np.arange(len(x))[:, None], label[near]), 1.0)
-    soft[np.arange(len(x)), label] += 1
-    soft /= soft.sum(1, keepdims=True)
-    z = (x - mean) * scale
+    told = label[np.column_stack((near, np.arange(len(y))))]  # a row's own part and its neighbours'
+    z = (y - mean) * scale
     layers = [rnd.normal(size=(x.shape[1], HIDDEN)) * (2 / x.shape[1]) ** 0.5, np.zeros(HIDDEN), rnd.normal(size=(HIDDEN, parts)) * (1 / HIDDEN) ** 0.5, np.zeros(parts)]
     first, second, step = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
     for _ in range(EPOCHS):
-        order = rnd.permutation(len(x))
-        for lo in range(0, len(x), BATCH):
-            own = order[lo : lo + BATCH]
-            h = np.maximum(z[own] @ layers[0] + layers[1], 0)
+        order = rnd.permutation(len(y))
+        for lo in range(0, len(y), BATCH):
+            now = order[lo : lo + BATCH]
+            h = np.maximum(z[now] @ layers[0] + layers[1], 0)
             out = h @ layers[2] + layers[3]
             p = np.exp(out - out.max(1, keepdims=True))
-            back = (p / p.sum(1, keepdims=True) - soft[own]) / len(own)
+            back = p / p.sum(1, keepdims=True)
+            np.add.at(back, (np.arange(len(now))[:, None], told[now]), -1 / told.shape[1])
+            back /= len(now)
             inner = (back @ layers[2].T) * (h > 0)
             step += 1
-            for i, g in enumerate((z[own].T @ inner, inner.sum(0), h.T @ back, back.sum(0))):
+            for i, g in enumerate((z[now].T @ inner, inner.sum(0), h.T @ back, back.sum(0))):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 layers[i] = layers[i] - 0.003 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     router = Router(mean, scale, layers)
-    ranks = np.argsort(np.argsort(-router.logits(x), axis=1, kind="stable"), axis=1)
-    placed = np.argmax(router.logits(x), axis=1)
-    asked = rnd.permutation(len(x))[:1000]
-    found = ranks[asked[:, None], placed[near[asked]]]
-    router.probes = next(m for m in range(1, parts + 1) if (found < m).mean() >= recall)
+    placed = np.concatenate([np.argmax(router.logits(part), axis=1) for part in np.array_split(y, -(-len(y) // 4096))])
+    norm, wanted = (y * y).sum(1), []
+    for v in x[held]:
+        d = norm - 2 * (y @ v)
+        wanted.append(placed[np.argpartition(d, GRAPH_K - 1)[:GRAPH_K] if GRAPH_K < len(y) else np.arange(len(y))])
+    ranks = np.argsort(np.argsort(-router.logits(x[held]), axis=1, kind="stable"), axis=1)
+    found = np.take_along_axis(ranks, np.array(wanted), 1)
+    router.probes = int(np.sort(found, axis=None)[min(found.size - 1, math.ceil(recall * found.size) - 1)]) + 1
     return router
 
 
@@ -182,8 +201,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | Non
     rows = valid(vectors, id_col, vector_col)
     total = rows.count()
     if parts is None:
-        parts = 2 ** round(math.log2(max(1, total / PART_ROWS)))
-        parts = min(MOST_PARTS, max(LEAST_PARTS, parts))
+        parts = part_count(total)
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows(parts)).collect()
     out = f"query_id long, rank int, {id_col} long, score double"
     if not taken:
@@ -202,7 +220,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | Non
 
     index = stored(rows.mapInArrow(assign, "id long, v array<double>, part int"), "ann-index")
     sizes = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each part
-    asked = valid(queries, id_col, vector_col).where(F.size("v") == width)
+    asked = valid(queries, id_col, vector_col).where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = np.array([sizes.get(p, 0) for p in range(held.value.layers[3].size)])
@@ -229,13 +247,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | Non
     left = index.join(grid, "part").select("id", "v", "part", block.alias("block"), every("batches").alias("batch"))
     right = routed.join(grid, "part").select("id", "v", "part", batch.alias("batch"), every("blocks").alias("block"))
 
-    def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
+    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
         if len(rows) and len(asked):
-            rows = rows.sort_values("id", kind="stable")
-            ids, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
+            ids, x = rows["id"].to_numpy(), matrix(rows["v"].combine_chunks())
             norm = (x * x).sum(1)
-            for q, v in zip(asked["id"], asked["v"], strict=True):
+            for q, v in zip(asked["id"].to_numpy(), matrix(asked["v"].combine_chunks()), strict=True):
                 rough = norm - 2 * (x @ v) + v @ v
                 rough[ids == q] = np.inf
                 m = min(k, len(rough))
@@ -244,11 +261,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | Non
                 near = np.flatnonzero((rough <= limit + slack) & (ids != q))
                 exact = np.sqrt(((x[near] - v) ** 2).sum(1))
                 best = np.lexsort((ids[near], exact))[:k]
-                found.append(pd.DataFrame({"query_id": q, "id": ids[near][best], "score": exact[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+                found.append((np.full(len(best), q), ids[near][best], exact[best]))
+        one, two, three = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": one.astype(np.int64), "id": two.astype(np.int64), "score": three})
 
     keys = ["part", "block", "batch"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, id long, score double")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
