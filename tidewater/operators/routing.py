@@ -19,7 +19,7 @@ from tidewater.operators.numbering import running
 from tidewater.plans.shape import Shape
 
 #: Shapes that are tested in one expression: more would pass the limit of generated code.
-TESTED = 50
+TESTED = 20
 ID = ["lsn", "seq", "pk"]
 IMAGES = [*ID, "op", "new", "old"]
 
@@ -73,9 +73,12 @@ def route_many(changes: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
     changes = changes.where(F.col("op").isin("insert", "update", "delete"))
     names, parts = list(shapes), []
     for lo in range(0, len(names), TESTED):
-        arms = [F.struct(F.lit(n).alias("handle"), transition(*_sides(changes, shapes[n])).alias("operation")) for n in names[lo : lo + TESTED]]
-        rows = changes.withColumn("arm", F.explode(F.filter(F.array(*arms), lambda a: a["operation"].isNotNull())))
-        parts.append(rows.select(F.col("arm.handle").alias("handle"), *ID, F.col("arm.operation").alias("operation"), _value("arm.operation")))
+        own = names[lo : lo + TESTED]
+        # no lambda here: it would keep the tests out of generated code
+        tests = F.array(*[transition(*_sides(changes, shapes[n])) for n in own])
+        rows = changes.select("*", F.posexplode(tests).alias("at", "operation")).where("operation is not null")
+        handle = F.element_at(F.array(*map(F.lit, own)), F.col("at") + 1).alias("handle")
+        parts.append(rows.select(handle, *ID, "operation", _value("operation")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -185,14 +188,13 @@ def route_indexed(changes: DataFrame, index: ShapeIndex) -> DataFrame:
     parts = []
     if one:
         parts.append(met(changes, index, one).withColumn("operation", transition(F.col("was"), F.col("is"))))
-    if exact:
-        parts.append(_once(met(changes, index, exact)).withColumn("operation", transition(F.col("was"), F.col("is"))))
-    for lo in range(0, len(tested), TESTED):
-        own = list(tested)[lo : lo + TESTED]
-        arms = F.when(F.lit(False), F.lit(""))
+    several = [*exact, *tested]
+    for lo in range(0, len(several), TESTED):
+        own = several[lo : lo + TESTED]
+        told = F.when(F.col("handle").isin([n for n in own if n in exact]), transition(F.col("was"), F.col("is")))
         for n in own:
-            arms = arms.when(F.col("handle") == n, transition(*_sides(changes, tested[n])))
-        parts.append(_once(met(changes, index, own)).withColumn("operation", arms).where("operation is not null"))
+            told = told if n in exact else told.when(F.col("handle") == n, transition(*_sides(changes, tested[n])))
+        parts.append(_once(met(changes, index, own)).withColumn("operation", told).where("operation is not null"))
     out = [p.select("handle", *ID, "operation", _value("operation")) for p in parts]
     if none:
         out.append(route_many(changes, none))
