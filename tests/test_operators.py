@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidewater.functions import predicates as P
 from tidewater.operators import cache, kv, log, metrics, routing, subquery
-from tidewater.operators.numbering import numbered, running
+from tidewater.operators.numbering import numbered, running, shared_dir
 from tidewater.plans.shape import Shape, cache_control, canonical_text, handle
 from tidewater.sources import changes as cdc
 from tidewater.sources import paths, tables
@@ -416,3 +416,20 @@ def test_entry_without_the_optional_part():
     root = os.path.dirname(os.path.abspath(entry.__file__))
     for names in (["ahocorasick"], ["regex"], ["tidewater.llm"], ["corpus_pipeline"]):
         subprocess.run([sys.executable, "-W", "ignore", "-c", code.format(names=names)], cwd=root, check=True, timeout=120)
+
+
+def test_the_shared_folder_has_to_be_named_on_a_cluster(spark):
+    class Session:
+        def __init__(self, master, at=None):
+            self.conf, self.sparkContext, self.master, self.applicationId, self.at = self, self, master, f"app-{master}", at
+
+        def get(self, name, default=None):
+            return self.at or default
+
+        def getConf(self):
+            return self
+
+    assert shared_dir(Session("spark://host", "hdfs://shared/")) == "hdfs://shared"
+    assert shared_dir(Session("local[4]")) == shared_dir(Session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("spark://host"))
