@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import common, exact_dedup
@@ -89,3 +90,26 @@ def test_large_groups_and_keys_that_are_not_broadcast(spark, monkeypatch):
     assert sorted(r.doc_id for r in exact_dedup.distinct_texts(docs).collect()) == want
     monkeypatch.setattr(common.small, "__defaults__", (0,))
     assert sorted(r.doc_id for r in exact_dedup.distinct_texts(docs).collect()) == want
+
+
+def test_an_ingest_that_ended_early_is_ingested_again(spark):
+    """The index holds the first batches of a run that broke off; the same rows again give
+    the decisions of a run that did not."""
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    index = exact_dedup.new_index(spark)
+    calls, add = [], index.add
+
+    def breaks(rows):
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost")
+        calls.append(add(rows))
+
+    index.add = breaks
+    with pytest.raises(RuntimeError):
+        index.ingest(docs)
+    held = index.rows().count()
+    index.add = add
+    assert 0 < held < len({x[4] for x in brute(TEXTS)})
+    assert decided(index.ingest(docs)) == brute(TEXTS)
+    assert decided(index.ingest(docs)) == brute(TEXTS)
+    index.drop()
