@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     as a folder of one machine's own is seen by no other."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _own[app] if app in _own else _own.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
