@@ -12,9 +12,9 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
    the two; a set is active if so many of its prefix tokens occur in different sets.
    Tokens of cells that stand out count as such, and are not sent: what is frequent is
    no bucket. Sets that are not active have no link.
-3. Among active sets tokens are counted exactly. Tokens of one set alone come first
-   and join with nothing; the others follow in two orders: (count, hash) and
-   (count, another hash).
+3. Among active sets tokens are counted exactly, but for those of cells that stand out:
+   they come last by their class. Tokens of one set alone come first and join with
+   nothing; the others follow in two orders: (count, hash) and (count, another hash).
 4. Candidates share a prefix token under the first order where their lengths and the
    token's places leave room for enough common tokens; only those that also share a
    prefix token under the second order are verified, by the exact intersection.
@@ -27,8 +27,9 @@ n - ceil(t n) + 1 tokens of each, under *every* total order of all tokens. So:
    counting common tokens, each pair of sets once; no pair is left out.
 
 Documents with equal sets are one node. No list of partners is cut and no bucket is
-gathered into one row or task: the few tokens, roots and nodes with a large share of all
-rows meet their group's row by broadcast, and pairs meet their sets in sort-merge joins
+gathered into one row or task: tokens that a large share of all documents has are in cells
+that stand out; the few prefix tokens, roots and nodes with a large share of all rows meet
+their group's row by broadcast, and pairs meet their sets in sort-merge joins
 whose skewed parts Spark splits. In a bucket of many components the pairs that step 5
 looks at are those whose lengths, places and second order leave room for a link. Only tables whose size is fixed by a parameter
 (cells, a bitmap of active sets) reach the driver.
@@ -57,6 +58,8 @@ from tidewater.llm.components import components
 WORDS, PERCENT = 5, 80
 #: 2**CELL_BITS cells count shingles; 2**MAP_BITS bits tell which sets may be active.
 CELL_BITS, MAP_BITS = 19, 23
+#: The count from which on frequent tokens are taken to have theirs.
+FREQUENT = 1 << 40
 #: Sets that one task remembers so as not to send copies.
 SEEN = 200_000
 #: Sets of a component that are compared at a time, and distinct tokens that are counted at a time.
@@ -186,8 +189,8 @@ def _posts(tokens: list, sids: list, least: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "least"])
 
 
-def sets_of(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(sid, n, tokens) of every active set. A bitmap of fixed size spares the sets
+def sets_of(docs: DataFrame, active: DataFrame, classes: np.ndarray, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(sid, n, tokens, classes) of every active set, with each token's class. A bitmap of fixed size spares the sets
     that are certainly not active the way to the exact join."""
     spot = f"shiftrightunsigned(sid, {64 - MAP_BITS})"
     marks = (
@@ -198,10 +201,10 @@ def sets_of(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_co
     bitmap = np.zeros(1 << (MAP_BITS - 5), np.int64)
     for r in marks:
         bitmap[r["at"]] = r["bits"]
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, done = held.value, set()
+        (bits, table), cell, done = held.value, _Bits(CELL_BITS), set()
         for b in batches:
             sids, sets = [], []
             for s in shingle_sets(b.column(1), words):
@@ -215,20 +218,22 @@ def sets_of(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_co
                 sids.append(sid)
                 sets.append(s.view(np.int64))
             if sids:
-                places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(np.diff(places).astype(np.int64)), tokens], ["sid", "n", "tokens"])
+                places, tokens = np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets)
+                lists = [pa.ListArray.from_arrays(pa.array(places), pa.array(x)) for x in (tokens, table[cell.of(tokens.view(np.uint64))].astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(np.diff(places).astype(np.int64)), *lists], ["sid", "n", "tokens", "classes"])
 
-    sent = texts(docs).select(id_col, text_col).mapInArrow(run, "sid long, n long, tokens array<long>")
+    sent = texts(docs).select(id_col, text_col).mapInArrow(run, "sid long, n long, tokens array<long>, classes array<byte>")
     return sent.join(active, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def both_orders(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, n, own, first, second) of active sets: own tokens, i.e. those that no
     other active set has, and the shared tokens of the prefix in either order."""
-    rows = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    counts = stored(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
-    shared = with_groups(rows, counts, "token", "df", sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = sets.select("sid", "n", F.explode(F.arrays_zip("tokens", "classes")).alias("t"))
+    rows = rows.select("sid", "n", F.col("t.tokens").alias("token"), F.col("t.classes").alias("class"))
+    rare = rows.where(F.col("class") == 0).select("sid", "n", "token", F.count("*").over(Window.partitionBy("token")).alias("df")).where("df > 1")
+    frequent = rows.where(F.col("class") > 0).select("sid", "n", "token", (F.col("class") + F.lit(FREQUENT)).alias("df"))
+    shared = rare.union(frequent)
     grouped = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     own = F.col("n") - F.size("x")
@@ -272,10 +277,11 @@ def linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int) -
 
 
 def set_components(docs: DataFrame, summary: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the sets that have links, and (sid, n, tokens) of these and other active sets."""
-    coarse = coarse_prefixes(docs, frequency_classes(summary), words, percent, id_col, text_col)
+    """(node, root) of the sets that have links, and (sid, n, tokens, classes) of these and other active sets."""
+    classes = frequency_classes(summary)
+    coarse = coarse_prefixes(docs, classes, words, percent, id_col, text_col)
     active = stored(active_sets(coarse), "active")
-    sets = stored(sets_of(docs, active, words, id_col, text_col), "sets")
+    sets = stored(sets_of(docs, active, classes, words, id_col, text_col), "sets")
     orders = stored(both_orders(sets, percent), "orders")
     posts = orders.select("sid", "n", "own", F.posexplode("first").alias("i", "token")).select("token", "sid", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
     posts = stored(posts, "posts")
@@ -343,7 +349,7 @@ def pairs_within(roots: DataFrame, sets: DataFrame, percent: int, block_sets: in
         one, other = sid[left[x]], sid[right[y]]
         return pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other), "common": common[x, y]})
 
-    own = sets.join(roots.toDF("sid", "root"), "sid")
+    own = sets.drop("classes").join(roots.toDF("sid", "root"), "sid")
     large = roots.groupBy("root").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks")).where("blocks > 1")
     own = own.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # large: a row for block_sets sets at most
     own = own.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
