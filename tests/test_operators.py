@@ -224,6 +224,9 @@ def test_index_loses_no_match(spark):
     found = {(r.lsn, r.seq, r.handle) for r in routing.candidates(changes, index).collect()}
     assert {(r.lsn, r.seq, r.handle) for r in want.collect()} <= found
     assert len(found) < len(rows) * len(shapes)
+    one = routing.ShapeIndex(changes, {"s0": shapes["s0"]})
+    plan = routing.route_indexed(changes, one)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # images stay where they are
 
 
 def test_index_keys_of_numbers_and_texts(spark):

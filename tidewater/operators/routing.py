@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,9 @@ def _value(operation: str) -> Column:
     return F.when(F.col(operation) == "delete", F.coalesce("old", "new")).otherwise(F.coalesce("new", "old")).alias("value")
 
 
+INDEX = pa.schema([("handle", pa.string()), ("column", pa.string()), ("inside", pa.bool_()), ("number", pa.float64()), ("text", pa.string()), ("kind", pa.string())])
+
+
 class ShapeIndex:
     """Which values the predicates of many shapes ask for, derived once.
 
@@ -123,15 +127,17 @@ class ShapeIndex:
 
     def table(self, spark: SparkSession, names: Iterable[str] | None = None) -> DataFrame:
         """(column, inside, key, handle) of the shapes that have keys."""
-        rows = []
+        rows: dict[str, list] = {f.name: [] for f in INDEX}
         for name in self.shapes if names is None else names:
             for k in self.keys[name][0] or ():
                 kind = self.kinds[k.column].rpartition(":")[2]
                 number = kind in ("int", "float")
-                rows.append((name, k.column, k.inside, k.value if number else None, None if number else str(k.value).lower() if kind == "bool" else k.value, kind))
-        table = spark.createDataFrame(rows, "handle string, column string, inside boolean, number double, text string, kind string")
+                text = None if number else str(k.value).lower() if kind == "bool" else k.value
+                for column, value in zip(rows, (name, k.column, k.inside, float(k.value) if number else None, text, kind), strict=True):
+                    rows[column].append(value)
+        table = spark.createDataFrame(pa.table(rows, schema=INDEX))  # from Arrow: Spark knows its size
         key = F.when(F.col("number").isNotNull(), key_text(F.col("number"), "float")).when(F.col("kind") == "bool", key_text(F.col("text"), "bool")).otherwise(key_text(F.col("text"), "text"))
-        return table.select("column", "inside", key.alias("key"), "handle").distinct()
+        return table.select("column", "inside", key.alias("key"), "handle")
 
     def columns(self) -> set[tuple[str, bool]]:
         return {(k.column, k.inside) for keys, _ in self.keys.values() for k in keys or ()}
