@@ -18,12 +18,10 @@ from tidewater.operators.numbering import shared_dir
 
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 20
-#: A table of keys is broadcast up to so many rows, a hash join's table of some 50 MB.
-BROADCAST_ROWS = 500_000
+#: A table of keys is broadcast up to so many bytes of its rows.
+BROADCAST_BYTES = 32 << 20
 #: A group with more than one row in so many is large.
 HOT_SHARE = 1_000
-
-
 #: Rows that go to a Python worker at a time; Spark's default of 10,000 long texts is
 #: held several times over, in the JVM and in the worker.
 BATCH_ROWS = 1_000
@@ -55,11 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``keys``, a stored table: marked for broadcast if it has at most ``rows`` rows, as
-    it is if it has more, None if it has none."""
-    n = keys.count()
-    return None if not n else F.broadcast(keys) if n <= rows else keys
+def small(keys: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``keys``, a stored table: marked for broadcast if its rows have at most ``limit``
+    bytes, as it is if they have more, None if there are none."""
+    texts_of = [f.name for f in keys.schema if f.dataType.typeName() in ("string", "binary")]
+    width = reduce(lambda a, c: a + F.coalesce(F.octet_length(c), F.lit(0)), texts_of, F.lit(8 * (1 + len(keys.columns))))
+    size = keys.agg(F.sum(width)).first()[0]
+    return None if size is None else F.broadcast(keys) if size <= limit else keys
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
