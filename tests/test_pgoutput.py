@@ -1,3 +1,4 @@
+import re
 import struct
 
 from tidewater.sources import pgoutput
@@ -58,3 +59,21 @@ def test_a_table_described_anew(spark):
         (0, 11, 2, "truncate", None, None),
         (1, 5, 7, "insert", "5", {"id": "5", "name": None, "big": "v"}),
     ]
+
+
+def test_a_table_described_often(spark):
+    """The work for a frame does not grow with the descriptions before it: no join compares places."""
+    oid = struct.pack(">I", 9)
+    frames, want, names = [], [], []
+    for i in range(3000):
+        if i % 10 == 0:
+            names = ["id", f"c{i}"]
+            frames.append(b"R" + oid + b"public\0things\0f" + struct.pack(">H", 2) + b"\x01id\0" + bytes(8) + b"\0" + names[1].encode() + b"\0" + bytes(8))
+        if i % 7 == 0:
+            frames.append(begin(i))
+        want.append((len(frames), i // 7 * 7, str(i), {"id": str(i), names[1]: "v"}))
+        frames.append(b"I" + oid + b"N" + image(str(i), "v"))
+    df = spark.createDataFrame([(0, i, f) for i, f in enumerate(frames)], "stream long, seq long, data binary")
+    out = pgoutput.changes(df.repartition(5))
+    assert [(r.seq, r.lsn, r.pk, r.new) for r in out.orderBy("seq").collect()] == want
+    assert not [j for j in re.findall(r"Join .*", out._jdf.queryExecution().optimizedPlan().toString()) if ">=" in j]

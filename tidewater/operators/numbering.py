@@ -63,6 +63,28 @@ def running(df: DataFrame, by: list[str], order: list[str], amount: Column, name
     return out.select(*df.columns, (F.col("__start") + F.col("__local")).alias(name))
 
 
+def latest(df: DataFrame, by: list[str], order: list[str], values: dict[str, list[str]]) -> DataFrame:
+    """``df`` in which each column of ``values`` holds its last value that is not null, at
+    the row or before it, among the rows of its group: ``by`` and the columns named there.
+    A group may hold most rows: it is spread over ranges, and what holds when a range
+    begins (a row for each group and range) goes before the range's own rows."""
+    rows = _dealt(df, [*by, *order])
+    out = rows
+    for name, more in values.items():
+        group = [*by, *more]
+        ends = rows.where(F.col(name).isNotNull()).groupBy("__range", *group).agg(F.max_by(name, "__row").alias("__end"))
+        ends = ends.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__{c}") for c in group], "__end")
+        here = rows.select("__range", *group).distinct()
+        here = here.join(ends, same(here, ends, [("__range", "__r"), *[(c, f"__{c}") for c in group]]), "left")
+        before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = here.select("__range", *group, F.last("__end", ignorenulls=True).over(before).alias(name), F.lit(-1).cast("long").alias("__row"))
+        out = out.unionByName(starts.where(F.col(name).isNotNull()), allowMissingColumns=True)
+    for name, more in values.items():
+        inside = Window.partitionBy("__range", *by, *more).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(name, F.last(name, ignorenulls=True).over(inside))
+    return out.where("__row >= 0").select(*df.columns)
+
+
 def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
     """``df`` with 0, 1, 2, ... in ``order``: rows are dealt out in ranges and sorted
     there; the ranges' sizes (a row for each) give where each one starts."""

@@ -1,11 +1,10 @@
 """Logical-replication frames (pgoutput, protocol 1) as change rows.
 
 Frames are a table (stream, seq, data). A table's description (relation frame) holds from
-its place until the next one for the table: descriptions, few beside the changes, are
-kept where they differ from the one before, and every frame is joined with the one that
-holds at its place. A frame's transaction is that of the last begin frame before it: begin
-frames are counted in order over ranges of the stream. Frames are then decoded each by
-itself, in Arrow batches on all executors.
+its place until the next one for the table, and a frame's transaction is that of the last
+begin frame before it: both are carried forward in order, inside ranges of the stream and
+from each range to the next, so the work does not grow with the number of descriptions.
+Frames are then decoded each by itself, in Arrow batches on all executors.
 """
 
 from __future__ import annotations
@@ -14,14 +13,14 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.numbering import running, shared_path
+from tidewater.operators.numbering import latest
 
 OPS = {b"I": "insert", b"U": "update", b"D": "delete"}
 TEXTS = pa.map_(pa.string(), pa.string())
-SCHEMA = "stream long, seq long, schema string, table string, op string, pk string, new map<string,string>, old map<string,string>, unchanged array<string>"
+SCHEMA = "stream long, seq long, lsn long, schema string, table string, op string, pk string, new map<string,string>, old map<string,string>, unchanged array<string>"
 
 
 class Reader:
@@ -112,47 +111,25 @@ def number(data: Column, at: int, width: int) -> Column:
     return F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("long")
 
 
-def descriptions(frames: DataFrame) -> DataFrame:
-    """(stream, oid, since, until, described): which relation frame describes a table from
-    ``since`` until before ``until`` (null: to the end). Written, as it is small and joined
-    with all frames."""
-    told = frames.where("kind = 'R'").select("stream", number(F.col("data"), 1, 4).alias("oid"), "seq", "data")
-    by = Window.partitionBy("stream", "oid").orderBy("seq")
-    told = told.withColumn("before", F.lag("data").over(by))
-    told = told.where(F.col("before").isNull() | (F.col("before") != F.col("data")))
-    told = told.select("stream", "oid", F.col("seq").alias("since"), F.lead("seq").over(by).alias("until"), F.col("data").alias("described"))
-    path = shared_path(frames, "relations")
-    told.write.parquet(path)
-    return frames.sparkSession.read.schema(told.schema).parquet(path)
-
-
-def transactions(frames: DataFrame) -> DataFrame:
-    """(stream, seq, lsn) of every frame: the position that the last begin frame gives."""
-    places = frames.select("stream", "seq", F.when(F.col("kind") == "B", number(F.col("data"), 1, 8)).alias("begin"))
-    places = running(places, ["stream"], ["seq"], F.col("begin").isNotNull().cast("long"), "tx")
-    begins = places.where("begin is not null").select("stream", "tx", F.col("begin").alias("lsn"))
-    return places.join(begins, ["stream", "tx"], "left").select("stream", "seq", "lsn")
-
-
 def changes(frames: DataFrame) -> DataFrame:
     """(stream, seq, lsn, schema, table, op, pk, new, old, unchanged) of all frames; null
     and empty frames, and frames of tables without a description, give no row."""
-    frames = frames.where(F.octet_length("data") > 0).select("stream", "seq", "data", F.substring("data", 1, 1).cast("string").alias("kind"))
-    tables = descriptions(frames)
+    kind, data = F.substring("data", 1, 1).cast("string"), F.col("data")
     # the tables of a truncate: their number, a byte of flags, then their oids
-    several = F.transform(F.sequence(F.lit(1), number(F.col("data"), 1, 4).cast("int")), lambda k: F.conv(F.hex(F.substring(F.col("data"), 3 + 4 * k, F.lit(4))), 16, 10).cast("long"))
-    oids = F.when(F.col("kind").isin("I", "U", "D"), F.array(number(F.col("data"), 1, 4))).when((F.col("kind") == "T") & (number(F.col("data"), 1, 4) > 0), several).when(F.col("kind") == "M", F.array(F.lit(None).cast("long")))
-    rows = frames.select("stream", "seq", "data", F.explode(oids).alias("oid")).alias("f")
-    holds = (F.col("f.stream") == F.col("t.stream")) & (F.col("f.oid") == F.col("t.oid")) & (F.col("f.seq") >= F.col("t.since")) & (F.col("t.until").isNull() | (F.col("f.seq") < F.col("t.until")))
-    rows = rows.join(tables.alias("t"), holds, "left").select("f.stream", "f.seq", "f.data", "t.described")
+    several = F.transform(F.sequence(F.lit(1), number(data, 1, 4).cast("int")), lambda k: F.conv(F.hex(F.substring(data, 3 + 4 * k, F.lit(4))), 16, 10).cast("long"))
+    oids = F.when(F.col("kind").isin("R", "I", "U", "D"), F.array(number(data, 1, 4))).when((F.col("kind") == "T") & (number(data, 1, 4) > 0), several).when(F.col("kind").isin("B", "M"), F.array(F.lit(None).cast("long")))
+    rows = frames.where(F.octet_length("data") > 0).select("stream", "seq", "data", kind.alias("kind")).select("*", F.explode(oids).alias("oid"))
+    change = F.col("kind").isin("I", "U", "D", "T", "M")
+    rows = rows.select("stream", "seq", "oid", F.when(change, data).alias("data"), F.when(F.col("kind") == "B", number(data, 1, 8)).alias("lsn"), F.when(F.col("kind") == "R", data).alias("described"))
+    rows = latest(rows, ["stream"], ["seq"], {"lsn": [], "described": ["oid"]}).where("data is not null").drop("oid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["schema", "table", "op", "pk", "new", "old", "unchanged"]
+        place, names = ["stream", "seq", "lsn"], ["schema", "table", "op", "pk", "new", "old", "unchanged"]
         kinds = [pa.string()] * 4 + [TEXTS, TEXTS, pa.list_(pa.string())]
         known: dict[bytes, tuple] = {}
         for b in batches:
             got, at = [], []
-            for i, (data, described) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (data, described) in enumerate(zip(b.column("data").to_pylist(), b.column("described").to_pylist(), strict=True)):
                 if described is not None and described not in known:
                     known[described] = relation(described)[1]
                 for change in decode(data, known.get(described)):
@@ -160,7 +137,6 @@ def changes(frames: DataFrame) -> DataFrame:
                     at.append(i)
             column = lambda n, k: pa.array([list(v.items()) if isinstance(v := g.get(n), dict) else v for g in got], k)
             spots = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(spots), b.column(1).take(spots), *map(column, names, kinds)], ["stream", "seq", *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(n).take(spots) for n in place], *map(column, names, kinds)], [*place, *names])
 
-    decoded = rows.mapInArrow(run, SCHEMA)
-    return decoded.join(transactions(frames), ["stream", "seq"]).select("stream", "seq", "lsn", "schema", "table", "op", "pk", "new", "old", "unchanged")
+    return rows.mapInArrow(run, SCHEMA)
