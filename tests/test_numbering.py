@@ -1,10 +1,14 @@
+import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import numbering
 from tidewater.operators.numbering import latest
 
 
-def test_latest_over_ranges(spark):
+@pytest.mark.parametrize("piece", [4, 18])
+def test_latest_over_ranges(spark, monkeypatch, piece):
     """What holds is carried over many ranges, into groups (a null one too) that begin late."""
+    monkeypatch.setattr(numbering, "PIECE", piece)
     df = spark.range(3_000).select(
         F.col("id").alias("i"),
         (F.col("id") % 2).alias("s"),

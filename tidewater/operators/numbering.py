@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: ``latest`` cuts ranges into pieces of 2 to the power of this rows: a range may be large.
+PIECE = 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,9 +68,10 @@ def running(df: DataFrame, by: list[str], order: list[str], amount: Column, name
 def latest(df: DataFrame, by: list[str], order: list[str], values: dict[str, list[str]]) -> DataFrame:
     """``df`` in which each column of ``values`` holds its last value that is not null, at
     the row or before it, among the rows of its group: ``by`` and the columns named there.
-    A group may hold most rows: it is spread over ranges, and what holds when a range
-    begins (a row for each group and range) goes before the range's own rows."""
+    A group may hold most rows: it is spread over pieces of ranges, and what holds when a
+    piece begins (a row for each group and piece) goes before the piece's own rows."""
     rows = _dealt(df, [*by, *order])
+    rows = rows.withColumn("__range", F.shiftleft("__range", 33 - PIECE).bitwiseOR(F.shiftright("__row", PIECE)))
     out = rows
     for name, more in values.items():
         group = [*by, *more]
